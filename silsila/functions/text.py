@@ -125,11 +125,11 @@ def parse_death_year(c: Column) -> Column:
 
 
 def normalise_grade(c: Column) -> Column:
-    g = F.regexp_replace(F.regexp_replace(c, "[’‘`ʼʿʾ]", "'"), "'{2,}", "'")
-    g = F.regexp_replace(squeeze(g), r"[\s,;]+$", "")
-    g = F.regexp_replace(F.regexp_replace(g, r"\bDa'?\s?[iI]f\b", "Da'if"), r"\bda'?\s?[iI]f\b", "da'if")
-    g = F.regexp_replace(g, r"(?i)\bma(?:w|u)du'?", "Maudu'")
-    return F.when(g.rlike("[A-Za-z]"), g)
+    """One spelling for each ruling; null for what has no Latin letter."""
+    g = squeeze(F.regexp_replace(F.regexp_replace(c, "[‘’ʻʼ`´]", "'"), "'{2,}", "'"))
+    g = F.trim(F.regexp_replace(g, r"[,;]\s*$", ""))
+    weak = F.regexp_replace(F.regexp_replace(g, r"\bD[aA]'?\s?[iI][fF]\b", "Da'if"), r"\bd[aA]'?\s?[iI][fF]\b", "da'if")
+    return F.when(g.rlike("[A-Za-z]"), F.regexp_replace(weak, r"(?i)\bMa[wu]du'?", "Maudu'"))
 
 
 def letters_only(c: Column) -> Column:

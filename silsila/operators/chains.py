@@ -107,3 +107,16 @@ def percentile_floor(values: Column, q: float) -> Column:
     """The sorted array's element at floor(n * q): neither the discrete nor the continuous percentile of SQL."""
     s = F.array_sort(values)
     return F.get(s, F.floor(F.size(values) * q).cast("int"))
+
+
+def percentile_by(df: DataFrame, key: str, value: str, q: float, least: int = 1) -> DataFrame:
+    """key, p: percentile_floor of value for each key with `least` rows or more.
+
+    Works on counts of distinct values, so a key that is in every row (the apex) gathers a histogram and not its rows.
+    """
+    from pyspark.sql import Window
+
+    counts = df.groupBy(key, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key)
+    run = counts.withColumn("_to", F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
+    return run.filter((F.col("_all") >= least) & (F.col("_to") > F.floor(F.col("_all") * q))).groupBy(key).agg(F.min(value).alias("p"))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.corpus import APEX, collector
-from .chains import percentile_floor
+from ..sources.store import materialise
+from .chains import percentile_by, percentile_floor
 
 MIN_ANCHORED, MIN_SAMPLES, MIN_DATED = 3, 5, 20
 SHORT_END, LATE_END = 0.1, 0.9
@@ -26,14 +27,13 @@ def depths(reports: DataFrame) -> DataFrame:
 
 def from_chains(depth: DataFrame) -> DataFrame:
     """id, gen: the short end of the anchored depths of those with enough of them."""
-    d = depth.filter("anchored").groupBy("id").agg(F.collect_list("depth").alias("d"))
-    return d.filter(F.size("d") >= MIN_ANCHORED).select("id", percentile_floor(F.col("d"), SHORT_END).alias("gen"))
+    return percentile_by(depth.filter("anchored"), "id", "depth", SHORT_END, MIN_ANCHORED).withColumnRenamed("p", "gen")
 
 
 def calibration(chains: DataFrame, people: DataFrame) -> DataFrame:
     """tabaqa 1-12, cal: the median generation of a class with enough samples; others borrow; never falling."""
     spark = chains.sparkSession
-    v = chains.join(people.filter("tabaqa is not null").select("id", "tabaqa"), "id").groupBy("tabaqa").agg(F.collect_list("gen").alias("g")).filter(F.size("g") >= MIN_SAMPLES).select("tabaqa", percentile_floor(F.col("g"), 0.5).alias("v"))
+    v = percentile_by(chains.join(people.filter("tabaqa is not null").select("id", "tabaqa"), "id"), "tabaqa", "gen", 0.5, MIN_SAMPLES).withColumnRenamed("p", "v")
     order = Window.orderBy("tabaqa").rowsBetween(Window.unboundedPreceding, 0)
     return spark.range(1, CLASSES + 1).select(F.col("id").cast("int").alias("tabaqa")).join(v, "tabaqa", "left").select("tabaqa", F.greatest(F.lit(1), F.max("v").over(order)).cast("int").alias("cal"))
 
@@ -53,28 +53,31 @@ def adjacency(depth: DataFrame) -> DataFrame:
     return a.withColumnRenamed("id", "earlier").join(b, ["report", "depth"]).filter("earlier <> later").select("earlier", "later").distinct()
 
 
-def infer(placed: DataFrame, depth: DataFrame, checkpoint=None) -> DataFrame:
+def infer(placed: DataFrame, depth: DataFrame) -> DataFrame:
     """Place the rest between their neighbours: a generation behind those before them, one ahead of those after."""
-    ids, near = depth.select("id").distinct(), adjacency(depth)
+    ids, near = depth.select("id").distinct(), materialise(adjacency(depth), "gen-near")
+    placed = materialise(placed, "gen-placed")
     for _ in range(SWEEPS):
         todo = ids.join(placed, "id", "left_anti")
         up = near.join(placed.select(F.col("id").alias("earlier"), "gen"), "earlier").select(F.col("later").alias("id"), (F.col("gen") + 1).alias("implied"))
         down = near.join(placed.select(F.col("id").alias("later"), "gen"), "later").select(F.col("earlier").alias("id"), (F.col("gen") - 1).alias("implied"))
-        new = todo.join(up.unionByName(down), "id").groupBy("id").agg(F.collect_list("implied").alias("i")).select("id", F.greatest(F.lit(1), percentile_floor(F.col("i"), 0.5)).alias("gen"), F.lit("inferred").alias("src"))
+        new = percentile_by(todo.join(up.unionByName(down), "id"), "id", "implied", 0.5).select("id", F.greatest(F.lit(1), F.col("p")).alias("gen"), F.lit("inferred").alias("src"))
+        new = materialise(new, "gen-sweep")
+        if new.isEmpty():
+            break
         placed = placed.unionByName(new)
-        placed = checkpoint(placed) if checkpoint else placed
     return placed
 
 
 def by_position(placed: DataFrame, depth: DataFrame) -> DataFrame:
-    rest = depth.join(placed, "id", "left_anti").groupBy("id").agg(F.collect_list("depth").alias("d")).select("id", F.greatest(F.lit(1), percentile_floor(F.col("d"), SHORT_END)).alias("gen"), F.lit("position").alias("src"))
+    rest = percentile_by(depth.join(placed, "id", "left_anti"), "id", "depth", SHORT_END).select("id", F.greatest(F.lit(1), F.col("p")).alias("gen"), F.lit("position").alias("src"))
     return placed.unionByName(rest)
 
 
 def landmarks(placed: DataFrame, people: DataFrame) -> DataFrame:
     """gen, closes: the late end of the death years of those whom chains placed, never falling."""
     dated = placed.filter("src = 'chains'").join(people.filter("died is not null").select("id", "died"), "id")
-    per = dated.groupBy("gen").agg(F.collect_list("died").alias("d")).filter(F.size("d") >= MIN_DATED).select("gen", percentile_floor(F.col("d"), LATE_END).alias("late"))
+    per = percentile_by(dated, "gen", "died", LATE_END, MIN_DATED).withColumnRenamed("p", "late")
     return per.select("gen", F.max("late").over(Window.orderBy("gen").rowsBetween(Window.unboundedPreceding, 0)).alias("closes"))
 
 
@@ -97,13 +100,12 @@ def rank_in_generation(placed: DataFrame, people: DataFrame) -> DataFrame:
     return placed.join(ranked, "id", "left").withColumn("sub", F.coalesce("sub", F.lit(0.5)))
 
 
-def assign(reports: DataFrame, people: DataFrame, checkpoint=None) -> DataFrame:
+def assign(reports: DataFrame, people: DataFrame) -> DataFrame:
     """id, gen, src, sub for everyone on a path or with a class; the apex stands at 0."""
-    depth = depths(reports)
-    chains = from_chains(depth)
+    depth = materialise(depths(reports), "gen-depths")
+    chains = materialise(from_chains(depth), "gen-chains")
     placed = with_classes(chains, people, calibration(chains, people))
-    placed = by_position(infer(placed, depth, checkpoint), depth)
-    placed = checkpoint(placed) if checkpoint else placed
-    placed = rank_in_generation(by_dates(placed, people, landmarks(placed, people)), people)
+    placed = materialise(by_position(infer(placed, depth), depth), "gen-placed")
+    placed = rank_in_generation(materialise(by_dates(placed, people, landmarks(placed, people)), "gen-dated"), people)
     at_apex = F.col("id") == APEX
     return placed.select("id", F.when(at_apex, 0).otherwise(F.col("gen")).cast("int").alias("gen"), F.when(at_apex, "chains").otherwise(F.col("src")).alias("src"), "sub")

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import corpus_queries, literal_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return corpus_queries.QUERIES | literal_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return corpus_queries.ORACLES | literal_queries.ORACLES
