@@ -457,3 +457,120 @@ def layout_bands(spark, sf):
 
     b = bands(seed(_registry(spark, sf)))
     return b.select("gen", F.round("y", 4).alias("y"), F.round("radius", 4).alias("radius"), "n")
+
+
+# ---- views, catalogue, drawing ------------------------------------------------------------------------------------------------
+_VIEW_SQL = "AND id IN (SELECT id FROM k WHERE nar = 'r1')"
+
+
+@query(f"WITH {sql.KINDS} SELECT id FROM kd WHERE n > 0 AND slug IN ('1-URGENT', '2-HIGH') {_VIEW_SQL} AND {sql.matches(['unreached', 'women', 'backward', 'peer'])}")
+def view_compiled(spark, sf):
+    from .view import View, compile_view
+
+    v = View().toggle_book("1-URGENT").toggle_book("2-HIGH").toggle_book("5-LOW").toggle_book("5-LOW").isolate("r1")
+    for k in ("unreached", "women", "backward", "peer"):
+        v = v.toggle_kind(k)
+    return compile_view(View.load(v.save()), corpus.reports(spark, sf), _registry(spark, sf)).select("id")
+
+
+@query(f"WITH {sql.CORPUS} SELECT id FROM r WHERE slug = '3-MEDIUM' AND chapter = 1995")
+def view_falls_back(spark, sf):
+    """A search without hits leaves the collections in scope."""
+    from .view import View, select
+
+    r = corpus.reports(spark, sf)
+    return select(View().toggle_chapter("3-MEDIUM", 1995), r, r.limit(0)).select("id")
+
+
+@query(f"WITH {sql.CORPUS} SELECT id FROM r WHERE id IN (1, 2, 3)")
+def view_pinned(spark, sf):
+    from .view import View, select
+
+    r = corpus.reports(spark, sf)
+    return select(View(books=("1-URGENT",)).pin(1, 2, 3), r, r).select("id")
+
+
+@query(f"WITH {sql.CORPUS}, w AS (SELECT node, count(DISTINCT id) AS weight FROM (SELECT id, src AS node FROM steps UNION SELECT id, dst FROM steps) GROUP BY node) SELECT DISTINCT node, weight FROM (SELECT * FROM (SELECT * FROM w ORDER BY weight DESC, node LIMIT 12) UNION ALL SELECT * FROM w WHERE (SELECT count(*) FROM w) <= 60 UNION ALL SELECT * FROM w WHERE node = 'r3')")
+def graph_labels(spark, sf):
+    from .view import labels
+
+    return labels(chains.nodes(corpus.reports(spark, sf)), also=("r3",))
+
+
+@query(f"""WITH {sql.GENERATIONS}, {_TYPED}, c AS (SELECT least(1e0, greatest(22e-2, 5000e0 / count(*))) AS density FROM te)
+SELECT src, dst, round(CASE WHEN kind = 'backward' OR gap THEN greatest(b, 26e-2) * greatest(density, 5e-1) ELSE b * density END, 9) AS intensity FROM (SELECT *, least(5e-2 + ln(1 + weight) * 75e-3, 42e-2) AS b FROM te), c""")
+def edge_intensity(spark, sf):
+    from .view import edge_intensity as bright
+
+    e = chains.typed_edges(corpus.reports(spark, sf), _registry(spark, sf))
+    pairs = e.agg(F.count("*").alias("pairs"))
+    return e.crossJoin(pairs).select("src", "dst", F.round(bright(F.col("weight"), F.col("kind"), F.col("gap"), F.col("pairs")), 9).alias("intensity"))  # one row
+
+
+@query(f"WITH {sql.CORPUS} SELECT slug, min(id) AS id FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY id) AS ref FROM r) WHERE ref = 7 AND starts_with(lower(slug), '1') GROUP BY slug")
+def find_reference(spark, sf):
+    from .view import find_reference as find
+
+    r = corpus.reports(spark, sf).select("slug", "id", F.col("slug").alias("title"))
+    return find(r.withColumn("ref", F.row_number().over(Window.partitionBy("slug").orderBy("id"))), "1:7")
+
+
+@query("SELECT c_custkey AS id, c_name AS en FROM customer WHERE contains(lower(c_name), '12') ORDER BY id LIMIT 200")
+def find_chapters(spark, sf):
+    from .view import find_chapters as find
+
+    c = corpus.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("en"), F.lit("").alias("ar"))
+    return find(c, " 12 ").select("id", "en")
+
+
+@query("SELECT slug, died::INT AS died, n IS NOT NULL AS ingested FROM (VALUES ('bukhari', 256), ('muslim', 261), ('abudawud', 275), ('tirmidhi', 279), ('nasai', 303), ('ibnmajah', 273), ('malik', 179), ('darimi', 255), ('ahmed', 241), ('aladab_almufrad', 256), ('shamail_muhammadiyah', 279)) b(slug, died) LEFT JOIN (VALUES ('malik', 3), ('ahmed', 5)) m(s, n) ON s = slug")
+def catalogue(spark, sf):
+    from ..sources.catalogue import catalogue as listing
+
+    manifest = spark.createDataFrame([("malik", 3), ("ahmed", 5)], "slug string, reports int")
+    return listing(spark, manifest).select("slug", F.col("author_died").alias("died"), "ingested")
+
+
+@query("SELECT key, value FROM (VALUES ('هشام', 'عروه'), ('ابو بكر', 'c')) t(key, value)")
+def relation_map(spark, sf):
+    from ..sources.catalogue import relation_map as read
+
+    given = spark.sql("""SELECT '{"_note": "x", "هشام": "عروه", "أبو بكر": "b", "ابو بكر": "c", "زيد": null}' AS j""")
+    return given.select(F.explode(read(F.col("j"))).alias("e")).select("e.key", "e.value")
+
+
+@query("""WITH b AS (SELECT l_suppkey AS id, l_returnflag AS slug, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT id, string_agg(slug || ':' || n, ',' ORDER BY n DESC, slug) AS books FROM b GROUP BY id""")
+def books_of_transmitter(spark, sf):
+    per = corpus.read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id"), F.col("l_returnflag").alias("slug")).agg(F.count("*").alias("n"))
+    as_map = per.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slug", "n"))).alias("books"))
+    ordered = F.array_sort(F.transform(F.map_entries("books"), lambda e: F.struct((-e["value"]).alias("k"), e["key"].alias("slug"))))
+    return as_map.select("id", F.array_join(F.transform(ordered, lambda e: F.concat(e["slug"], F.lit(":"), (-e["k"]).cast("string"))), ",").alias("books"))
+
+
+@query("""WITH p AS (SELECT DISTINCT a.l_suppkey AS s, b.l_suppkey AS t FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_partkey % 50 = 0)
+SELECT 'r' || s AS id, string_agg('r' || t, ',' ORDER BY 'r' || t) AS teachers FROM p WHERE t % 2 = 0 GROUP BY s""")
+def present_teachers(spark, sf):
+    """Teachers, only those who are in the corpus; none is no row."""
+    lines = corpus.read(spark, sf, "lineitem").filter("l_partkey % 50 = 0").select("l_partkey", "l_suppkey").distinct()
+    claims = lines.select("l_partkey", F.col("l_suppkey").alias("s")).join(lines.select("l_partkey", F.col("l_suppkey").alias("t")), "l_partkey").filter("s <> t").select("s", "t").distinct()
+    present = corpus.read(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("t"))
+    r = lambda c: F.concat(F.lit("r"), F.col(c).cast("string"))
+    return claims.join(present, "t", "left_semi").groupBy(r("s").alias("id")).agg(F.array_join(F.array_sort(F.collect_set(r("t"))), ",").alias("teachers"))
+
+
+@query("SELECT n_nationkey AS id, length(CAST('{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS VARCHAR))::INT AS bytes FROM nation")
+def json_bytes(spark, sf):
+    from ..sources.catalogue import json_bytes as size
+
+    return corpus.read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), size("n_name", "n_regionkey").alias("bytes"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, p_name AS ar, p_brand AS k FROM part), ku AS (SELECT p_brand AS k, min(p_type) AS en FROM part WHERE p_size < 10 GROUP BY p_brand), nm AS (SELECT p_name AS k, min(p_type) AS en FROM part WHERE p_size > 40 GROUP BY p_name)
+SELECT id, coalesce(ku.en, nm.en) AS en FROM t LEFT JOIN ku ON ku.k = t.k LEFT JOIN nm ON nm.k = t.ar""")
+def two_key_lookup(spark, sf):
+    """A label by the surface, else by the full name."""
+    part = corpus.read(spark, sf, "part")
+    by_surface = part.filter("p_size < 10").groupBy("p_brand").agg(F.min("p_type").alias("e1"))
+    by_name = part.filter("p_size > 40").groupBy("p_name").agg(F.min("p_type").alias("e2"))
+    return part.join(by_surface, "p_brand", "left").join(by_name, "p_name", "left").select(F.col("p_partkey").alias("id"), F.coalesce("e1", "e2").alias("en"))

@@ -119,3 +119,21 @@ def resolve_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["resolve_chains"] = resolve_chains
 ORACLES["resolve_chains"] = "SELECT k::INT AS k, resolved FROM (VALUES (0, '1 3 4'), (1, '8?')) t(k, resolved)"
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.sql("SELECT * FROM VALUES (1, 'taqrib', NULL, 'ثقة', 0), (1, 'isaba', 'unknown', '-', 1), (2, 'kamil', 'weak', NULL, 0), (2, 'mizan', 'unknown', 'كلام', 1) AS t(id, key, grade_en, grade_ar, pos)")
+    return resolve.read_verdicts(given).select("id", "key", "grade_en")
+
+
+QUERIES["verdicts"] = verdicts
+ORACLES["verdicts"] = "SELECT id::INT AS id, key, grade_en FROM (VALUES (1, 'taqrib', 'reliable'), (2, 'kamil', 'weak'), (2, 'mizan', 'unknown')) t(id, key, grade_en)"
+
+
+def namings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.sql("SELECT 1 AS id, 'محمد بن مسلم' AS full_name, array('الزهري', 'محمّد بن مسلم', '-', 'ابن شهاب') AS namings UNION ALL SELECT 2, NULL, array('زيد')")
+    return resolve.namings(given).select("id", "pos", "naming", "key")
+
+
+QUERIES["namings"] = namings
+ORACLES["namings"] = "SELECT id::INT AS id, pos::INT AS pos, naming, key FROM (VALUES (1, 0, 'محمد بن مسلم', 'محمد بن مسلم'), (1, 1, 'الزهري', 'الزهري'), (1, 4, 'ابن شهاب', 'ابن شهاب'), (2, 1, 'زيد', 'زيد')) t(id, pos, naming, key)"
