@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import forget_at_exit, materialise, shared_dir  # noqa: F401
+
 #: ASCII white space as the contracts define it: \x20 and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -22,27 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where none is set, as in tests."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="silsila-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+#: Bytes of an Arrow batch that goes to or comes from a Python worker, unless the session sets a limit below it.
+BATCH_BYTES = 4 << 20
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow in bounded memory: batches are limited by bytes, and a worker gives memory back after each task."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(frugal, schema)
+
+
+def _bytes(value: str) -> int:
+    number = value.strip().lower().rstrip("b")
+    return int(float(number.rstrip("kmg")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(number[-1:], 1))
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors.
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    import ctypes
 
-    The table is removed when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def utf8(col: str) -> Column:
@@ -55,7 +66,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def chunks(batch: pa.RecordBatch, col: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, col: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose binary column holds about `limit` bytes, one row at least; a longer row stands alone."""
     if not batch.num_rows:
         return
@@ -96,13 +107,14 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and of its inverse, at least n of each."""
     if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = -(-n // 65536) * 65536
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             p = np.ones(size, np.uint64)
             have = 1
             while have < size:
-                p[have : 2 * have] = p[:have] * np.uint64(pow(base, have, 1 << 64))
-                have *= 2
+                more = min(have, size - have)
+                p[have : have + more] = p[:more] * np.uint64(pow(base, have, 1 << 64))
+                have += more
             _POWERS[name] = p
     return _POWERS["up"], _POWERS["down"]
 

@@ -27,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, materialise, mix64, shared_dir, span_hashes, utf8
+from .common import chunks, flat, map_arrow, materialise, mix64, shared_dir, span_hashes, utf8
 
 MIN, GRAM = 400, 32
 GRAMS = MIN - GRAM + 1
 #: Bytes of unit contents in a block, and beyond which one anchor's units are split.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Windows in a part of a unit when an anchor is split, and split again.
 STEPS = (47, 6, 1)
 #: A longer text is searched for units in overlapping segments of this size.
-SEGMENT = 8 << 20
+SEGMENT = 1 << 20
 _BYTE = mix64(np.arange(1, 257).astype(np.uint64))
 
 UNITS = "rid long, start long, windows int, unit int, anchor long, hash long, occ int"
@@ -104,10 +104,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start + shift), *(pa.array(x.astype(np.int32)) for x in (windows, unit)), pa.array(anchor), pa.array(hashes), pa.array(occ.astype(np.int32))], names)
 
     for whole in batches:
-        for batch in chunks(whole, "raw", 4 << 20):
+        for batch in chunks(whole, "raw"):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = flat(batch, "raw")
-            if len(data) <= SEGMENT + MIN:
+            if batch.num_rows > 1 or len(data) <= SEGMENT + MIN:
                 found = find_units(data, offsets)
                 row = np.searchsorted(offsets, found[0], "right") - 1
                 yield out(ids[row], (found[0] - offsets[row], *found[1:]))
@@ -144,8 +144,9 @@ def long_borders(text: np.ndarray, order: np.ndarray, least: int = MIN) -> np.nd
     n = len(text)
     last = text[order - 1]  # the transform; the symbol before the first one is the last, which is unique
     by_symbol = np.argsort(last, kind="stable")
-    step = np.empty(n, np.int64)
-    step[by_symbol] = np.arange(n)
+    step = np.empty(n, np.int32)
+    step[by_symbol] = np.arange(n, dtype=np.int32)
+    del by_symbol
     change = np.ones(n, bool)
     change[1:] = last[1:] != last[:-1]
     run_from = np.flatnonzero(change)
@@ -227,7 +228,7 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def expand(units: DataFrame) -> DataFrame:
     """Compare different units (key, n, rid, start, content) with the same key; each key's contents fit in a block."""
-    return units.select("key", "n", "rid", "start", "content").repartition("key").sortWithinPartitions("key").mapInArrow(_expand, SPANS)
+    return units.select("key", "n", "rid", "start", "content").repartition("key").sortWithinPartitions("key").transform(map_arrow, _expand, SPANS)
 
 
 def _parts(step: int):
@@ -259,7 +260,7 @@ def _parts(step: int):
 def split(units: DataFrame, step: int) -> DataFrame:
     """Units cut to parts of at most `step` windows, keyed by the core of their windows: key, hash, n, rid, start, windows, content."""
     spread = units.select("n", "rid", "start", "content").repartition("rid", "start")
-    return spread.mapInArrow(_parts(step), "key long, hash long, n long, rid long, start long, windows int, content binary")
+    return spread.transform(map_arrow, _parts(step), "key long, hash long, n long, rid long, start long, windows int, content binary")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +333,7 @@ def _bucketed(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """rid, start, windows from rid, raw: stretches of starts whose MIN-byte strings also start elsewhere in the corpus."""
-    units = materialise(texts.select("rid", "raw").mapInArrow(_units, UNITS), "repeat-units")
+    units = materialise(texts.select("rid", "raw").transform(map_arrow, _units, UNITS), "repeat-units")
     common = units.groupBy("anchor").agg(F.sum("occ").alias("total")).filter("total > 1").select("anchor")
     shared = materialise(units.join(common, "anchor", "left_semi"), "repeat-shared")
     counted = materialise(shared.groupBy("anchor", "hash").agg(F.sum("occ").alias("n"), F.min(F.struct("rid", "start", "unit")).alias("rep")), "repeat-counted")
@@ -341,7 +342,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     wanted = counted.join(several, "anchor").select(F.col("rep.rid").alias("rid"), F.struct("anchor", "hash", "n", F.col("rep.start").alias("start"), F.col("rep.unit").alias("unit"), "hot").alias("u"))
     by_text = wanted.groupBy("rid").agg(F.collect_list("u").alias("units"))
     kinds = "key long, hash long, n long, rid long, start long, hot boolean, content binary"
-    contents = materialise(texts.select("rid", "raw").join(by_text, "rid").select("rid", "raw", "units").mapInArrow(_cut, kinds), "repeat-contents")
+    contents = materialise(texts.select("rid", "raw").join(by_text, "rid").select("rid", "raw", "units").transform(map_arrow, _cut, kinds), "repeat-contents")
     settled.append(expand(contents.filter("not hot")))
     rest = contents.filter("hot")
     for step in STEPS:
@@ -373,7 +374,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_t
     spans = repeated_spans(texts).groupBy("rid").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     joined = texts.join(spans.withColumnRenamed("rid", "of"), F.col("rid") == F.col("of"), "left").select("row", "raw", "spans")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_digest(MIN, with_text), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else ""))
+    return joined.transform(map_arrow, _digest(MIN, with_text), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else ""))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
