@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, map_arrow
 
 #: What \s means to the reference encoder: Unicode's White_Space property (unlike Python's, without \x1c to \x1f).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -157,7 +157,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
                 names = ["doc_id", "n_tokens"] + (["ids"] if with_ids else []) + ["ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw")).transform(map_arrow, run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -169,4 +169,4 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [own.decode(ids or []).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").transform(map_arrow, run, "doc_id long, text string")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_arrow, materialise
 
 K = 20
 ORDERINGS, DIMS, BITS = 12, 6, 10
@@ -153,8 +153,8 @@ def nearest(vectors: DataFrame, queries: int = 20) -> DataFrame:
     """
     usable = materialise(entries(vectors).withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))), "near-entries")
     longest = {r.dims: r.m * (1 + 1e-9) for r in usable.groupBy("dims").agg(F.max("length").alias("m")).collect()}
-    placed = usable.select("rep", "dims", "v").mapInArrow(_spread(longest), "rep long, curve long, key long")
-    numbered = materialise(placed.repartitionByRange("curve", "key", "rep").sortWithinPartitions("curve", "key", "rep").select("rep", "curve").mapInArrow(_number, "rep long, curve long, part int, at long"), "near-order")
+    placed = usable.select("rep", "dims", "v").transform(map_arrow, _spread(longest), "rep long, curve long, key long")
+    numbered = materialise(placed.repartitionByRange("curve", "key", "rep").sortWithinPartitions("curve", "key", "rep").select("rep", "curve").transform(map_arrow, _number, "rep long, curve long, part int, at long"), "near-order")
     sizes = numbered.groupBy("curve", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("curve"))).select(F.col("curve").alias("c"), F.col("part").alias("p"), "base", "total")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, map_arrow
 
 #: Common function words of English, German, French and Spanish: a choice of our own.
 STOP_WORDS = frozenset(
@@ -237,4 +237,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("raw"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.transform(map_arrow, run, "page_id long, url string, text string, n_chars long")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, held_out, materialise, utf8
+from .common import chunks, flat, held_out, map_arrow, materialise, utf8
 from .ngram_lm import codes_of, fit_models, languages_of, row_sums, scorer, share
 
 #: The share of correct training predictions that calibrated rejection may lose.
@@ -60,7 +60,7 @@ def identify(docs: DataFrame) -> DataFrame:
                 cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(least), pa.array(np.where(letters, second - least, 0.0))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "lang", "lang_pred", "score", "entropy", "margin"])
 
-    scored = materialise(base.mapInArrow(run, "doc_id long, held_out boolean, lang string, lang_pred string, score double, entropy double, margin double"), "langid-scored")
+    scored = materialise(base.transform(map_arrow, run, "doc_id long, held_out boolean, lang string, lang_pred string, score double, entropy double, margin double"), "langid-scored")
     right = scored.filter(~F.col("held_out") & (F.col("lang") == F.col("lang_pred")))
     least = right.agg(F.percentile_approx("margin", REJECT, 1000).alias("m")).first().m or 0.0
     return scored.select("doc_id", "held_out", "lang_pred", "score", "entropy", "margin", (F.col("margin") < F.lit(float(least))).alias("rejected"))
