@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, flat
+from .common import chunks, flat, map_arrow
 
 CLASSES, ORDER = 32, 4
 CODES = CLASSES**ORDER
@@ -77,7 +77,7 @@ def count_ngrams(docs: DataFrame, languages: list[str]) -> DataFrame:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["lang_id", "code", "n"])
 
-    return docs.select("lang", "raw").mapInArrow(run, "lang_id int, code int, n long").groupBy("lang_id", "code").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "raw").transform(map_arrow, run, "lang_id int, code int, n long").groupBy("lang_id", "code").agg(F.sum("n").alias("n"))
 
 
 def hash_keys(codes: np.ndarray, order: int) -> np.ndarray:
@@ -93,9 +93,14 @@ class KneserNey:
     back: list[tuple[np.ndarray, np.ndarray]]
 
     @classmethod
-    def fit(cls, codes: np.ndarray, counts: np.ndarray) -> KneserNey:
-        """From the counts of the highest order; lower orders count distinct left neighbours."""
-        codes, counts = codes.astype(np.int64), counts.astype(np.float64)
+    def fit(cls, codes: np.ndarray, counts: np.ndarray, least: int = 1) -> KneserNey:
+        """From the counts of the highest order; lower orders count distinct left neighbours.
+
+        N-grams that occur less than `least` times are not learned (unless none is left), so that a text does not vouch
+        for what only it contains.
+        """
+        often = counts >= least if (counts >= least).any() else counts > 0
+        codes, counts = codes[often].astype(np.int64), counts[often].astype(np.float64)
         levels = [(codes, counts)]
         for order in range(ORDER - 1, 0, -1):
             short, left = np.unique(levels[0][0] % CLASSES**order, return_counts=True)
@@ -158,10 +163,10 @@ def languages_of(docs: DataFrame) -> list[str]:
     return [r.lang for r in docs.filter(F.col("lang").isNotNull()).select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES).collect()]
 
 
-def fit_models(docs: DataFrame, languages: list[str]) -> dict[int, KneserNey]:
+def fit_models(docs: DataFrame, languages: list[str], least: int = 1) -> dict[int, KneserNey]:
     """A model per lang_id that occurs in docs (columns lang, raw)."""
     counted = count_ngrams(docs, languages).toArrow().to_pandas()
-    return {int(k): KneserNey.fit(g["code"].to_numpy(), g["n"].to_numpy()) for k, g in counted.groupby("lang_id")}
+    return {int(k): KneserNey.fit(g["code"].to_numpy(), g["n"].to_numpy(), least) for k, g in counted.groupby("lang_id")}
 
 
 class Scorer:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, materialise, mix64, span_hashes, utf8, word_spans
+from .common import chunks, flat, map_arrow, materialise, mix64, span_hashes, utf8, word_spans
 from .ngram_lm import codes_of, fit_models, languages_of, row_sums, scorer, share
 
 SYMBOLS = b"#*$%&|<>"
@@ -23,7 +23,9 @@ WINDOW = 5
 MIN_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 #: How many interquartile ranges of log perplexity a band reaches below and above the quartiles, and the least width of one.
-REACH_LOW, REACH_HIGH, LEAST_RANGE = 4.0, 7.0, 0.05
+REACH_LOW, REACH_HIGH, LEAST_RANGE = 4.0, 12.0, 0.05
+#: N-grams that occur less often in a language are not learned: the scored text is itself part of the corpus.
+LEAST_COUNT = 2
 #: Perplexity of shorter texts is too uncertain to reject on, and to set a band with.
 MIN_BYTES = 200
 
@@ -84,7 +86,7 @@ def assess(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "lang", utf8("text").alias("raw"))
     languages = languages_of(docs)
-    models = share(spark, fit_models(base.select("lang", "raw"), languages))
+    models = share(spark, fit_models(base.select("lang", "raw"), languages, LEAST_COUNT))
     place = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +107,7 @@ def assess(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["row", "lang", *(c.split()[0] for c in STATS.split(", ")), "n_bytes", "lang_id", "entropy"])
 
     kind = base.schema["row"].dataType.simpleString()
-    scored = base.mapInArrow(run, f"row {kind}, lang string, {STATS}, n_bytes long, lang_id int, entropy double")
+    scored = base.transform(map_arrow, run, f"row {kind}, lang string, {STATS}, n_bytes long, lang_id int, entropy double")
     if set(carry) <= {"doc_id"}:
         scored = materialise(scored, "quality-scored")
         narrow = scored
