@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, held_out, mix64, span_hashes, utf8, word_spans
+from .common import chunks, flat, held_out, map_arrow, mix64, span_hashes, utf8, word_spans
 
 #: Labelled rows to learn from: at most so many of label 1 and of label 0, none longer than so many bytes.
-SAMPLE = {1: 500, 0: 1000}
+SAMPLE = {1: 1200, 0: 2000}
 SAMPLE_BYTES = 20_000
 WINDOW, STRIDE = 48, 32
 WORDS, TRIGRAMS = 1 << 14, 1 << 11
@@ -56,6 +56,15 @@ class Words:
         self.trigrams = (mix64(left << np.uint64(16) | mid << np.uint64(8) | right) % np.uint64(TRIGRAMS)).astype(np.int64)
         self.of = of
 
+    def some(self, pick: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, sizes, trigrams, the place of each trigram's word) of all distinct words, or of some."""
+        if pick is None:
+            return self.ids, self.sizes, self.trigrams, self.of
+        sizes = self.sizes[pick]
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first = np.cumsum(self.sizes) - self.sizes
+        return self.ids[pick], sizes, self.trigrams[np.repeat(first[pick], sizes) + inside], np.repeat(np.arange(len(pick)), sizes)
+
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, row) of all windows; a row without words has none."""
         n = np.diff(self.first)
@@ -82,16 +91,18 @@ class Network:
         self.p |= {"attend": small(2 * h, ATTEND, by=(2 * h) ** -0.5), "choose": small(ATTEND, by=1.0), "out": small(2 * h, by=0.5), "bias": np.zeros(1, np.float32)}
         self.scale, self.shift = 1.0, 0.0
 
-    def inputs(self, w: Words) -> np.ndarray:
-        total = np.zeros((len(w.ids), CHAR_DIM), np.float32)
-        if len(w.trigrams):
-            total = np.add.reduceat(self.p["char"][w.trigrams], np.cumsum(w.sizes) - w.sizes, axis=0)
-        return np.concatenate([self.p["word"][w.ids], total / np.maximum(w.sizes, 1)[:, None].astype(np.float32)], 1)
+    def inputs(self, w: Words, pick: np.ndarray | None = None) -> np.ndarray:
+        """The input vectors of all distinct words, or of some of them."""
+        ids, sizes, trigrams, _ = w.some(pick)
+        total = np.zeros((len(ids), CHAR_DIM), np.float32)
+        if len(trigrams):
+            total = np.add.reduceat(self.p["char"][trigrams], np.cumsum(sizes) - sizes, axis=0)
+        return np.concatenate([self.p["word"][ids], total / np.maximum(sizes, 1)[:, None].astype(np.float32)], 1)
 
     def _layer(self, way: str, gates: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: list | None):
         u, h = self.p[f"u{way}"], HIDDEN
-        state = np.zeros((len(at), h), np.float32)
-        states = np.empty((at.shape[1], len(at), h), np.float32)
+        state = np.zeros((len(at), h), gates.dtype)
+        states = np.empty((at.shape[1], len(at), h), gates.dtype)
         for t in range(at.shape[1]) if way == "f" else range(at.shape[1] - 1, -1, -1):
             g = gates[at[:, t]]
             zr = _sigmoid(g[:, : 2 * h] + state @ u[:, : 2 * h])
@@ -110,7 +121,7 @@ class Network:
         kept = {"f": [], "b": []} if keep is not None else {"f": None, "b": None}
         states = np.concatenate([self._layer(w, gates[w], at, mask, kept[w]) for w in "fb"], 2)
         act = np.tanh(states @ self.p["attend"])
-        score = act @ self.p["choose"] + np.where(mask.T > 0, 0, -1e9).astype(np.float32)
+        score = act @ self.p["choose"] + np.where(mask.T > 0, 0, -1e9).astype(states.dtype)
         weight = np.exp(score - score.max(0))
         weight /= weight.sum(0)
         pooled = np.einsum("tn,tnd->nd", weight, states)
@@ -135,8 +146,8 @@ class Network:
         dstates = dstates + dact @ p["attend"].T
         dx = np.zeros_like(x)
         for w, own in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
-            u, du, dgates = p[f"u{w}"], np.zeros_like(p[f"u{w}"]), np.zeros((len(x), 3 * h), np.float32)
-            carry = np.zeros((len(at), h), np.float32)
+            u, du, dgates = p[f"u{w}"], np.zeros_like(p[f"u{w}"]), np.zeros((len(x), 3 * h), x.dtype)
+            carry = np.zeros((len(at), h), x.dtype)
             for t, state, z, r, cand in reversed(keep["kept"][w]):
                 d = carry + dstates[t, :, own]
                 m = mask[:, t, None]
@@ -192,23 +203,26 @@ def train(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int =
     usable = np.flatnonzero(np.diff(by_row) > 0)
     rng, moments, turn = np.random.default_rng(seed + 1), {}, 0
     for epoch in range(EPOCHS):
-        logits = net.forward(net.inputs(w), at, mask) if epoch else first_guess
+        logits = all_logits(net, w, start, length) if epoch else first_guess
         for part in np.array_split(rng.permutation(usable), max(len(usable) // BATCH, 1)):
             top = np.array([by_row[d] + np.argmax(logits[by_row[d] : by_row[d + 1]]) for d in part])
-            x, keep = net.inputs(w), {}
-            out = net.forward(x, at[top], mask[top], keep)
+            pick, own = np.unique(at[top], return_inverse=True)
+            own = own.reshape(at[top].shape)
+            x, keep = net.inputs(w, pick), {}
+            out = net.forward(x, own, mask[top], keep)
             dlogit = ((_sigmoid(out) - labels[part]) / len(part)).astype(np.float32)
-            g, dx = net.gradient(x, at[top], mask[top], keep, dlogit)
+            g, dx = net.gradient(x, own, mask[top], keep, dlogit)
+            ids, sizes, trigrams, of = w.some(pick)
             g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(g["word"], w.ids, dx[:, :WORD_DIM])
-            np.add.at(g["char"], w.trigrams, (dx[:, WORD_DIM:] / np.maximum(w.sizes, 1)[:, None])[w.of])
+            np.add.at(g["word"], ids, dx[:, :WORD_DIM])
+            np.add.at(g["char"], trigrams, (dx[:, WORD_DIM:] / np.maximum(sizes, 1)[:, None])[of])
             turn += 1
             for k, v in g.items():
                 m, s = moments.setdefault(k, (np.zeros_like(v), np.zeros_like(v)))
                 m += 0.1 * (v - m)
                 s += 0.01 * (v * v - s)
                 net.p[k] -= (RATE * (m / (1 - 0.9**turn)) / (np.sqrt(s / (1 - 0.99**turn)) + 1e-7)).astype(np.float32)
-    logits = net.forward(net.inputs(w), at, mask)
+    logits = all_logits(net, w, start, length)
     worst = np.array([logits[by_row[d] : by_row[d + 1]].max() for d in usable])
     a, b, y = 1.0, 0.0, labels[usable]
     for _ in range(300):  # logistic scaling with a little pull towards slope 1
@@ -220,17 +234,22 @@ def train(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int =
     return net
 
 
-def worst_windows(net: Network, data: np.ndarray, offsets: np.ndarray, tile: int = 2048) -> np.ndarray:
+def all_logits(net: Network, w: Words, start: np.ndarray, length: np.ndarray, tile: int = 1024) -> np.ndarray:
+    """The logits of all windows, some at a time."""
+    gates, out = net.gates(net.inputs(w)), np.empty(len(start), np.float64)
+    for a in range(0, len(start), tile):
+        at, mask = _places(w, start[a : a + tile], length[a : a + tile])
+        out[a : a + tile] = net.forward(None, at, mask, gates=gates)
+    return out
+
+
+def worst_windows(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Each row's highest scaled logit over all its windows; that of no evidence for a row without words."""
     w = Words(data, offsets)
     out = np.full(len(offsets) - 1, -np.inf)
     if len(w.which):
         start, length, row = w.windows()
-        x = net.inputs(w)
-        gates = net.gates(x)
-        for a in range(0, len(start), tile):
-            at, mask = _places(w, start[a : a + tile], length[a : a + tile])
-            np.maximum.at(out, row[a : a + tile], net.forward(x, at, mask, gates=gates).astype(np.float64))
+        np.maximum.at(out, row, all_logits(net, w, start, length))
     return np.where(np.isinf(out), min(net.shift, -3.0), net.scale * np.where(np.isinf(out), 0, out) + net.shift)
 
 
@@ -260,9 +279,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, net = shared.value
         for whole in batches:
-            for batch in chunks(whole, "raw", 2 << 20):
+            for batch in chunks(whole, "raw"):
                 p = 1 / (1 + np.exp(-np.clip(worst_windows(net, *flat(batch, "raw")), -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), utf8("text").alias("raw"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.transform(map_arrow, run, "doc_id long, held_out boolean, score double, predicted int")
