@@ -248,8 +248,13 @@ def years_in(c: Column) -> Column:
     return F.filter(F.transform(found, lambda x: x.cast("int")), lambda n: n > 0)
 
 
+def clean_entry(c: Column) -> Column:
+    """An entry without the page marks of its printed edition."""
+    return squeeze(F.regexp_replace(c, r"(?<![A-Za-z0-9_])(?:ms\d+|PageV\d+P\d+|Page\d+)(?![A-Za-z0-9_])", " "))
+
+
 def head_of(c: Column, words: int = 12) -> Column:
-    return F.slice(F.split(normalise_key(c), " "), 1, words)
+    return F.slice(F.split(normalise_key(clean_entry(c)), " "), 1, words)
 
 
 def class_in_entry(c: Column) -> Column:

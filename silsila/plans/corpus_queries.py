@@ -574,3 +574,36 @@ def two_key_lookup(spark, sf):
     by_surface = part.filter("p_size < 10").groupBy("p_brand").agg(F.min("p_type").alias("e1"))
     by_name = part.filter("p_size > 40").groupBy("p_name").agg(F.min("p_type").alias("e2"))
     return part.join(by_surface, "p_brand", "left").join(by_name, "p_name", "left").select(F.col("p_partkey").alias("id"), F.coalesce("e1", "e2").alias("en"))
+
+
+@query(f"""WITH {sql.GENERATIONS}, ap AS (SELECT id, count(*) AS n FROM d GROUP BY id), ta AS (SELECT nar AS id, count(*) FILTER (WHERE f <> 'R') AS clear, count(*) FILTER (WHERE f = 'R') AS uncertain FROM k GROUP BY nar),
+pe AS (SELECT *, CASE WHEN tabaqa = 1 THEN 'companion' WHEN died > 250 THEN 'weak' ELSE 'reliable' END AS grade FROM s WHERE id <> 'r4')
+SELECT ap.id, CASE WHEN ap.id = 'prophet' THEN 'prophet' WHEN starts_with(ap.id, 'collector:') THEN ap.id[11:] ELSE coalesce(name, ap.id) END AS ar,
+  CASE WHEN ap.id = 'prophet' THEN 'companion' WHEN starts_with(ap.id, 'collector:') THEN 'reliable' ELSE coalesce(grade, 'unknown') END AS grade, CASE WHEN ap.id = 'prophet' THEN 0 ELSE gen END::INT AS gen,
+  reg.src, CASE WHEN ap.id = 'prophet' THEN 0 ELSE reg.sub END AS sub, pe.died::INT AS died, n, ap.id = 'prophet' OR starts_with(ap.id, 'collector:') OR name IS NOT NULL AS resolved,
+  coalesce(name IS NOT NULL AND uncertain > clear, false) AS ambiguous, coalesce(pe.woman, false) AS woman
+FROM ap LEFT JOIN reg ON reg.id = ap.id LEFT JOIN pe ON pe.id = ap.id LEFT JOIN ta ON ta.id = ap.id""")
+def registry_describe(spark, sf):
+    from ..operators.registry import describe
+
+    r, people = _gen(spark, sf)
+    graded = people.filter("id <> 'r4'").withColumn("grade", F.when(F.col("tabaqa") == 1, "companion").when(F.col("died") > 250, "weak").otherwise("reliable"))
+    n = generations.depths(r).groupBy("id").agg(F.count("*").alias("n"))
+    none = spark.createDataFrame([], "id string, surface string")
+    return describe(n, generations.assign(r, people), graded, QUERIES["identification_tally"](spark, sf), none)
+
+
+@query(f"WITH {sql.CORPUS} SELECT count(DISTINCT slug) AS books, count(DISTINCT r.id) AS reports, count(DISTINCT k.id) AS chains FROM r LEFT JOIN k ON r.id = k.id")
+def totals(spark, sf):
+    from ..operators.registry import totals as add_up
+
+    return add_up(QUERIES["book_summary"](spark, sf))
+
+
+@query(f"WITH {sql.CORPUS} SELECT s.id, name FROM s WHERE id IN (SELECT nar FROM k WHERE f = 'A')")
+def used_profiles(spark, sf):
+    """Profiles that occur in a chain of a report that reaches the apex or not: a semi-join, never a broadcast by hint."""
+    line = corpus.read(spark, sf, "lineitem")
+    ordered = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"))).alias("x"))
+    kept = ordered.select(F.explode(F.filter("x", lambda v, i: (i == 0) | (v["l_suppkey"] != F.get(F.col("x"), i - 1)["l_suppkey"]))).alias("v")).filter("v.l_returnflag = 'A'")
+    return corpus.transmitters(spark, sf).join(kept.select(F.concat(F.lit("r"), F.col("v.l_suppkey").cast("string")).alias("id")), "id", "left_semi").select("id", "name")

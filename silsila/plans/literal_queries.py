@@ -56,6 +56,7 @@ cases("year_in_words", text.year_in_words, [("سبع عشرة", 17), ("ثلاث
 cases("same_year", lambda a, b: text.same_year(a.cast("int"), b.cast("int")), [(25, 125, "true"), (73, 74, "true"), (73, 80, "false"), (117, 17, "false")])
 cases("years_in", lambda c: _list(text.years_in(c)), [("90 هـ ، أو 91 هـ", "90|91"), (None, ""), ("0 ثم 12", "12")])
 cases("head_of", lambda c: F.array_join(text.head_of(c), " "), [("أنس بن مالك، خادم", "انس بن مالك خادم"), ("1 2 3 4 5 6 7 8 9 10 11 12 13 14", ""), ("ا ب ت ث ج ح خ د ذ ر ز س ش ص", "ا ب ت ث ج ح خ د ذ ر ز س")])
+cases("clean_entry", text.clean_entry, [("أنس PageV01P123 بن ms239 مالك", "أنس بن مالك"), ("xms12 Page7", "xms12")])
 cases("class_in_entry", text.class_in_entry, [("فلان من العاشرة مات", 10), ("فلان صحابي مشهور", 1), ("من رؤوس الطبقة السابعة", 7), ("فلان بن فلان", None)])
 cases("death_in_entry", text.death_in_entry, [("ثقة مات سنة سبع عشرة وله ثمانون سنة", 17), ("مات سنة ست وأربعين", 46), ("ثقة", None)])
 cases("display_name", text.display_name, [("الزهري", "محمد بن مسلم", "محمد بن مسلم"), ("عمر بن الخطاب", "عمر", "عمر بن الخطاب"), ("x", "", "x"), ("x", "a b c d e f g", "x")])
