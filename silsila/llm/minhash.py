@@ -6,9 +6,10 @@ coordinate is filled; from round T on, coordinate i - T is offered every element
 number of agreeing coordinates of two sketches is concentrated around their sets' similarity.
 
 Equal sets are one class from the start, so copies never multiply. Classes that share a band of the sketch are
-candidates. A bucket is never expanded into all pairs: its members are compared with one hub, verified links are
-joined to components, and only buckets that still hold several components are looked at again, with other hubs and at
-last with every pair that crosses two components there, so no link between candidates is lost.
+candidates. A bucket is never expanded into all pairs: its members are compared with one hub, and verified links are
+joined to components. Buckets that still hold several components connect families; there every class is compared
+with the family's centre, and what two classes have in common beyond the centre bounds their similarity, so the links
+that are left are found by prefix filtering on the differences. No link between candidates is lost.
 """
 
 from __future__ import annotations
@@ -21,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M64, chunks, flat, materialise, mix64, span_hashes, utf8, word_spans
+from .common import M64, chunks, flat, map_arrow, materialise, mix64, span_hashes, utf8, word_spans
 
 BANDS, ROWS = 24, 6
 T = BANDS * ROWS
 SHINGLE, PERCENT = 3, 85
-#: Rounds with one hub a bucket before the rest is compared across components.
-HUB_ROUNDS = 3
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -92,7 +91,7 @@ def band_keys(rows: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in chunks(whole, "raw", 4 << 20):
+        for batch in chunks(whole, "raw"):
             sets = shingle_sets(*flat(batch, "raw"))
             keys = band_keys(sketches(sets))
             n = np.array([len(s) for s in sets], np.int64)
@@ -104,40 +103,23 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cls and its shingle hashes, cut to 48 bits each, end to end."""
+    """cls and its shingle hashes."""
     for whole in batches:
-        for batch in chunks(whole, "raw", 4 << 20):
-            want, cls, packed = batch.column(0).to_pylist(), [], []
-            for s, w in zip(shingle_sets(*flat(batch, "raw")), want, strict=True):
-                if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == w:
-                    cls.append(w)
-                    packed.append(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(packed, pa.binary())], ["cls", "packed"])
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep, last, left = [], None, np.zeros(0, np.uint64)
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if a is not last:
-                last, left = a, _unpack(a)
-            both = np.concatenate([left, _unpack(b)])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= PERCENT * (len(both) - shared))
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+        for batch in chunks(whole, "raw"):
+            want = batch.column(0).to_pylist()
+            own = [(w, s.view(np.int64)) for s, w in zip(shingle_sets(*flat(batch, "raw")), want, strict=True) if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == w]
+            at = np.zeros(len(own) + 1, np.int32)
+            np.cumsum([len(s) for _, s in own], out=at[1:])
+            flat_sets = np.concatenate([s for _, s in own]) if own else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat_sets))], ["cls", "hashes"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
-    second = pairs.join(sets.select(F.col("cls").alias("b"), F.col("packed").alias("pb")), "b")
-    return second.join(sets.select(F.col("cls").alias("a"), F.col("packed").alias("pa")), "a").select("a", "b", "pa", "pb").mapInArrow(_confirm, "a binary, b binary")
+    second = pairs.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("sb")), "b")
+    both = second.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("sa")), "a")
+    met = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    return met.filter(100 * F.col("shared") >= PERCENT * (F.col("sizes") - F.col("shared"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -163,7 +145,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     read. An empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), utf8("text").alias("raw"))
-    described = materialise(own.mapInArrow(_describe, "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>"), "near-described")
+    described = materialise(own.transform(map_arrow, _describe, "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>"), "near-described")
     some = described.filter(F.col("cls").isNotNull())
     ident = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("text_hash"))
     classes = materialise(some.groupBy("cls").agg(F.min(ident).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-classes")
@@ -188,37 +170,68 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _link(docs: DataFrame, members: DataFrame) -> DataFrame | None:
     """Verified links that connect everything connected among the members of shared buckets; None if there is no bucket."""
-    close = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)  # noqa: E731  else the sizes alone rule a link out
-    pairs = materialise(members.filter((F.col("cls") != F.col("hub")) & close(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "near-pairs")
+    pairs = materialise(members.filter((F.col("cls") != F.col("hub")) & _close(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "near-pairs")
     if members.isEmpty():
         return None
     wanted = members.select("cls", F.col("rep.id").alias("id"), F.col("rep.text_hash").alias("h")).distinct()
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("h"), utf8("text").alias("raw"))
-    sets = materialise(texts.join(wanted, ["id", "h"]).select("cls", "raw").mapInArrow(_sets, "cls binary, packed binary").dropDuplicates(["cls"]), "near-sets")
+    sets = materialise(texts.join(wanted, ["id", "h"]).select("cls", "raw").transform(map_arrow, _sets, "cls binary, hashes array<long>").dropDuplicates(["cls"]), "near-sets")
     links = materialise(verify(pairs, sets), "near-links")
-    tested = pairs
-    for turn in range(HUB_ROUNDS + 1):
-        found = components(links)
-        placed = members.select("bucket", "cls", "n").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("degree"))
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
-        rest = materialise(placed.join(mixed, "bucket").join(degree, "cls", "left"), "near-rest")
-        if rest.isEmpty():
-            break
-        if turn < HUB_ROUNDS:
-            rank = F.struct(-F.coalesce("degree", F.lit(0)) if turn == 0 else F.lit(0), F.xxhash64(F.lit(turn), "cls"), F.col("cls"), F.col("n"), F.col("comp"))
-            hubs = rest.groupBy("bucket").agg(F.min(rank).alias("x")).select("bucket", F.col("x.cls").alias("hub"), F.col("x.n").alias("hub_n"), F.col("x.comp").alias("hub_comp"))
-            new = rest.join(hubs, "bucket").filter((F.col("comp") != F.col("hub_comp")) & close(F.col("n"), F.col("hub_n"))).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
-        else:
-            other = rest.select("bucket", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            new = rest.join(other, (rest["bucket"] == other["bucket"]) & (F.col("cls") < F.col("cls2")) & (F.col("comp") != F.col("comp2")) & close(F.col("n"), F.col("n2"))).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
-        new = materialise(new.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if not new.isEmpty():
-            more = materialise(verify(new, sets), "near-links")
-            links, tested = links.unionByName(more), tested.unionByName(new)
-        elif turn == HUB_ROUNDS:
-            break
-    return links
+    found = components(links)
+    placed = members.select("bucket", "cls", "hub", "n").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
+    rest = materialise(placed.join(mixed, "bucket").select("cls", "hub", "n", "comp").distinct(), "near-rest")
+    if rest.isEmpty():
+        return links
+    # Families: classes that buckets with several components connect, whether linked or not.
+    families = components(rest.filter("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")))
+    degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("degree"))
+    people = rest.select("cls", "n", "comp").distinct().join(families.select(F.col("node").alias("cls"), F.col("comp").alias("family")), "cls").join(degree, "cls", "left")
+    people = materialise(people.select("cls", "n", "comp", "family", F.coalesce("degree", F.lit(0)).alias("degree")), "near-family")
+    centre = people.groupBy("family").agg(F.min(F.struct(-F.col("degree"), F.col("cls"), F.col("comp"))).alias("x")).select("family", F.col("x.cls").alias("centre"), F.col("x.comp").alias("centre_comp"))
+    around = people.join(centre, "family").filter("cls != centre")
+    more, last = _around(around, sets)
+    return materialise(links.unionByName(more).unionByName(last), "near-links")
+
+
+def _close(x, y):
+    """Whether the sizes alone allow a link."""
+    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+
+
+def _around(around: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links to the centres of families, and links between a class that its centre does not link and any other.
+
+    Let h be the centre, and let x add a and lack r of its elements. With s differences in common, x and y share
+    |h| - r_x - r_y + s of |h| + a_x + a_y - s elements. So a link needs s >= (q_x + t a_y + r_y) / (1 + t), where t is
+    the threshold and q_x = t (|h| + a_x) - |h| + r_x, which is above 0 if h does not link x. A difference that only one
+    class of the family has is never in common. That rules out almost all classes by counting; the others are paired
+    where they share one of their rarest differences, as many of those as the bound requires (prefix filtering).
+    """
+    t = PERCENT / 100
+    x_set = sets.select("cls", F.col("hashes").alias("sx"))
+    c_set = sets.select(F.col("cls").alias("centre"), F.col("hashes").alias("sc"))
+    met = around.join(x_set, "cls").join(c_set, "centre").select("family", "cls", "comp", "centre_comp", "centre", F.size("sc").alias("h"), F.array_except("sx", "sc").alias("a"), F.array_except("sc", "sx").alias("r"))
+    # A hash that one class adds is not of the centre, one that another lacks is: the two kinds never mix.
+    seen = met.select("family", "cls", "comp", "centre_comp", "centre", "h", F.size("a").alias("added"), F.size("r").alias("lacks"), F.concat("a", "r").alias("diff"))
+    seen = materialise(seen.withColumn("linked", 100 * (F.col("h") - F.col("lacks")) >= PERCENT * (F.col("h") + F.col("added"))), "near-differences")
+    # What the centre links is of its component now; pairs inside a component need no look.
+    seen = seen.withColumn("comp", F.when(F.col("linked"), F.col("centre_comp")).otherwise(F.col("comp")))
+    links = seen.filter("linked").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
+    each = seen.select("family", "cls", F.explode("diff").alias("d"))
+    common = materialise(each.join(each.groupBy("family", "d").agg(F.count("*").alias("df")).filter("df > 1"), ["family", "d"]), "near-common")
+    ranked = common.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "d"))).alias("shared"))
+    facts = seen.select("family", "cls", "comp", "linked", "added", "lacks", (F.lit(t) * (F.col("h") + F.col("added")) - F.col("h") + F.col("lacks")).alias("q")).join(ranked, "cls")
+    size_d, own = F.col("added") + F.col("lacks"), F.size("shared")
+    # As the other side of an unlinked x: more than half of the differences must be in common.
+    need_y = (F.lit(t) * F.col("added") + F.col("lacks")) / (1 + t)
+    keep = lambda need: F.greatest(F.lit(0), size_d - F.ceil(need - 1e-9) + 1 - (size_d - own)).cast("int")  # noqa: E731  of the prefix what is shared at all
+    y = facts.filter(own >= need_y - 1e-9).select("family", "cls", "comp", "q", "added", "lacks", own.alias("own"), F.explode(F.slice("shared", F.lit(1), keep(need_y))).alias("e"))
+    x = facts.filter(~F.col("linked") & (own >= F.col("q") - 1e-9)).select("family", F.col("cls").alias("x"), F.col("comp").alias("comp_x"), F.col("q").alias("qx"), own.alias("own_x"), F.explode(F.slice("shared", F.lit(1), keep(F.greatest(F.col("q"), F.lit(1.0))))).alias("e"))
+    need = (F.col("qx") + F.lit(t) * F.col("added") + F.col("lacks")) / (1 + t)
+    met = x.join(y, ["family", "e"]).filter((F.col("comp_x") != F.col("comp")) & (F.least("own", "own_x") >= need - 1e-9))
+    pairs = materialise(met.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct(), "near-pairs")
+    return links, verify(pairs, sets)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
