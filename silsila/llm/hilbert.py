@@ -72,8 +72,8 @@ def orderings(vectors: np.ndarray, longest: float, seed: int = 11) -> np.ndarray
     return np.stack(keys, 1)
 
 
-def entries(vectors: DataFrame) -> DataFrame:
-    """dims, raw (the vector's doubles), ids (its K + 1 smallest vec_id), n_queries per distinct vector that takes part."""
+def entries(vectors: DataFrame, queries: int) -> DataFrame:
+    """rep (its smallest vec_id), queried, dims, v (doubles), ids (its K + 1 smallest vec_id) per distinct vector that takes part."""
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     # Adding zero makes -0.0 the same as 0.0.
     v = vectors.filter(F.col("vec_id").isNotNull() & usable).select("vec_id", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
@@ -82,7 +82,7 @@ def entries(vectors: DataFrame) -> DataFrame:
     rank = Window.partitionBy("h1", "h2").orderBy("vec_id")
     least = h.select("vec_id", "h1", "h2").withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= K + 1)
     ids = least.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    queried = h.groupBy("h1", "h2").agg(F.max(F.when(F.pmod("vec_id", F.lit(20)) == 0, 1).otherwise(0)).alias("queried"), F.min("vec_id").alias("rep"))
+    queried = h.groupBy("h1", "h2").agg(F.max(F.when(F.pmod("vec_id", F.lit(queries)) == 0, 1).otherwise(0)).alias("queried"), F.min("vec_id").alias("rep"))
     return h.join(queried.withColumnRenamed("h1", "g1").withColumnRenamed("h2", "g2"), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("vec_id") == F.col("rep"))).select("h1", "h2", "rep", "queried", F.size("v").alias("dims"), "v").dropDuplicates(["rep"]).join(ids, ["h1", "h2"]).select("rep", "queried", "dims", "v", "ids")
 
 
@@ -151,7 +151,7 @@ def nearest(vectors: DataFrame, queries: int = 20) -> DataFrame:
     that repeat a vec_id with different vectors are different entries. Tables of up to BLOCK entries are searched
     wholly. An empty table gives no rows.
     """
-    usable = materialise(entries(vectors).withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))), "near-entries")
+    usable = materialise(entries(vectors, queries).withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))), "near-entries")
     longest = {r.dims: r.m * (1 + 1e-9) for r in usable.groupBy("dims").agg(F.max("length").alias("m")).collect()}
     placed = usable.select("rep", "dims", "v").transform(map_arrow, _spread(longest), "rep long, curve long, key long")
     numbered = materialise(placed.repartitionByRange("curve", "key", "rep").sortWithinPartitions("curve", "key", "rep").select("rep", "curve").transform(map_arrow, _number, "rep long, curve long, part int, at long"), "near-order")

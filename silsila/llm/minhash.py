@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,25 @@ from pyspark.sql import functions as F
 
 from .common import M64, chunks, flat, map_arrow, materialise, mix64, span_hashes, utf8, word_spans
 
-BANDS, ROWS = 24, 6
-T = BANDS * ROWS
-SHINGLE, PERCENT = 3, 85
+
+@dataclass(frozen=True)
+class Rule:
+    """What makes two texts near copies: words a shingle, the least similarity in percent; and the sketch's bands and rows.
+
+    A pair at the threshold t shares no band with a probability of (1 - t ** rows) ** bands: 7e-6 for the defaults.
+    """
+
+    shingle: int = 5
+    percent: int = 80
+    bands: int = 30
+    rows: int = 5
+
+
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """For each text its sorted distinct 64-bit shingle hashes; A-Z are folded, fewer than k words make one shingle."""
     upper = (data >= 65) & (data <= 90)
     data = data + (upper.astype(np.uint8) << np.uint8(5))
@@ -58,7 +70,7 @@ def _seed(i: int) -> np.uint64:
     return np.uint64((i + 1) * 0xA0761D6478BD642F & M64)
 
 
-def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
+def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     """A (len(sets), t) array of 64-bit coordinates; rows of empty sets stay at the largest value."""
     out = np.full(len(sets) * t, _NONE)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -79,7 +91,7 @@ def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
     return rows
 
 
-def band_keys(rows: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_keys(rows: np.ndarray, bands: int) -> np.ndarray:
     """(n, bands) signed 64-bit bucket keys; the band's number is part of the key."""
     n, t = rows.shape
     parts = rows.reshape(n, bands, t // bands)
@@ -89,37 +101,44 @@ def band_keys(rows: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in chunks(whole, "raw"):
-            sets = shingle_sets(*flat(batch, "raw"))
-            keys = band_keys(sketches(sets))
-            n = np.array([len(s) for s in sets], np.int64)
-            at = np.zeros(len(sets) + 1, np.int32)
-            np.cumsum(np.where(n > 0, BANDS, 0), out=at[1:])
-            cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[n > 0].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(cls, pa.binary()), bands], ["doc_id", "text_hash", "n_shingles", "cls", "bands"])
+def _describe(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "raw"):
+                sets = shingle_sets(*flat(batch, "raw"), rule.shingle)
+                keys = band_keys(sketches(sets, rule.bands * rule.rows), rule.bands)
+                n = np.array([len(s) for s in sets], np.int64)
+                at = np.zeros(len(sets) + 1, np.int32)
+                np.cumsum(np.where(n > 0, rule.bands, 0), out=at[1:])
+                cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[n > 0].ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(cls, pa.binary()), bands], ["doc_id", "text_hash", "n_shingles", "cls", "bands"])
+
+    return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(rule: Rule):
     """cls and its shingle hashes."""
-    for whole in batches:
-        for batch in chunks(whole, "raw"):
-            want = batch.column(0).to_pylist()
-            own = [(w, s.view(np.int64)) for s, w in zip(shingle_sets(*flat(batch, "raw")), want, strict=True) if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == w]
-            at = np.zeros(len(own) + 1, np.int32)
-            np.cumsum([len(s) for _, s in own], out=at[1:])
-            flat_sets = np.concatenate([s for _, s in own]) if own else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat_sets))], ["cls", "hashes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "raw"):
+                want = batch.column(0).to_pylist()
+                own = [(w, s.view(np.int64)) for s, w in zip(shingle_sets(*flat(batch, "raw"), rule.shingle), want, strict=True) if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == w]
+                at = np.zeros(len(own) + 1, np.int32)
+                np.cumsum([len(s) for _, s in own], out=at[1:])
+                hashes = np.concatenate([s for _, s in own]) if own else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes))], ["cls", "hashes"])
+
+    return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     second = pairs.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("sb")), "b")
     both = second.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("sa")), "a")
     met = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), (F.size("sa") + F.size("sb")).alias("sizes"))
-    return met.filter(100 * F.col("shared") >= PERCENT * (F.col("sizes") - F.col("shared"))).select("a", "b")
+    return met.filter(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -135,7 +154,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """doc_id, text_hash, n_shingles, component_id, kept, winner for every row of docs.
 
     component_id is the smallest id of the component; kept marks rows with that id; winner marks exactly one text of a
@@ -145,19 +164,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     read. An empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), utf8("text").alias("raw"))
-    described = materialise(own.transform(map_arrow, _describe, "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>"), "near-described")
+    described = materialise(own.transform(map_arrow, _describe(rule), "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>"), "near-described")
     some = described.filter(F.col("cls").isNotNull())
     ident = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("text_hash"))
     classes = materialise(some.groupBy("cls").agg(F.min(ident).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-classes")
     in_buckets = classes.select("cls", "n", "rep", F.explode("bands").alias("bucket"))
     shared = in_buckets.groupBy("bucket").agg(F.min("cls").alias("hub"), F.min_by("n", "cls").alias("hub_n"), F.count("*").alias("members")).filter("members > 1")
+    shared = materialise(shared, "near-buckets")
     members = materialise(in_buckets.join(shared, "bucket").select("bucket", "cls", "n", "rep", "hub", "hub_n"), "near-members")
-    links = _link(docs, members)
+    links = _link(docs, members, rule)
     labels = classes.select("cls", "rep")
     if links is not None:
         found = components(links)
         labels = labels.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        least = labels.groupBy("comp").agg(F.min("rep").alias("first"))
+        labels = materialise(labels, "near-comps")
+        least = materialise(labels.groupBy("comp").agg(F.min("rep").alias("first")), "near-least")
         labels = materialise(labels.join(least, "comp").select("cls", "first"), "near-labels")
     else:
         labels = labels.withColumnRenamed("rep", "first")
@@ -168,18 +189,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), winner.alias("winner")).select("doc_id", "text_hash", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("winner")).alias("kept"), "winner")
 
 
-def _link(docs: DataFrame, members: DataFrame) -> DataFrame | None:
+def _link(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame | None:
     """Verified links that connect everything connected among the members of shared buckets; None if there is no bucket."""
-    pairs = materialise(members.filter((F.col("cls") != F.col("hub")) & _close(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "near-pairs")
+    pairs = materialise(members.filter((F.col("cls") != F.col("hub")) & _close(F.col("n"), F.col("hub_n"), rule.percent)).select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "near-pairs")
     if members.isEmpty():
         return None
     wanted = members.select("cls", F.col("rep.id").alias("id"), F.col("rep.text_hash").alias("h")).distinct()
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("h"), utf8("text").alias("raw"))
-    sets = materialise(texts.join(wanted, ["id", "h"]).select("cls", "raw").transform(map_arrow, _sets, "cls binary, hashes array<long>").dropDuplicates(["cls"]), "near-sets")
-    links = materialise(verify(pairs, sets), "near-links")
+    sets = materialise(texts.join(wanted, ["id", "h"]).select("cls", "raw").transform(map_arrow, _sets(rule), "cls binary, hashes array<long>").dropDuplicates(["cls"]), "near-sets")
+    links = materialise(verify(pairs, sets, rule.percent), "near-links")
     found = components(links)
     placed = members.select("bucket", "cls", "hub", "n").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
+    # Tables of their own, here and below: Spark can then split the hot keys of the joins with them.
+    mixed = materialise(placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket"), "near-mixed")
     rest = materialise(placed.join(mixed, "bucket").select("cls", "hub", "n", "comp").distinct(), "near-rest")
     if rest.isEmpty():
         return links
@@ -188,18 +210,18 @@ def _link(docs: DataFrame, members: DataFrame) -> DataFrame | None:
     degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("degree"))
     people = rest.select("cls", "n", "comp").distinct().join(families.select(F.col("node").alias("cls"), F.col("comp").alias("family")), "cls").join(degree, "cls", "left")
     people = materialise(people.select("cls", "n", "comp", "family", F.coalesce("degree", F.lit(0)).alias("degree")), "near-family")
-    centre = people.groupBy("family").agg(F.min(F.struct(-F.col("degree"), F.col("cls"), F.col("comp"))).alias("x")).select("family", F.col("x.cls").alias("centre"), F.col("x.comp").alias("centre_comp"))
+    centre = materialise(people.groupBy("family").agg(F.min(F.struct(-F.col("degree"), F.col("cls"), F.col("comp"))).alias("x")).select("family", F.col("x.cls").alias("centre"), F.col("x.comp").alias("centre_comp")), "near-centres")
     around = people.join(centre, "family").filter("cls != centre")
-    more, last = _around(around, sets)
+    more, last = _around(around, sets, rule.percent)
     return materialise(links.unionByName(more).unionByName(last), "near-links")
 
 
-def _close(x, y):
+def _close(x, y, percent: int):
     """Whether the sizes alone allow a link."""
-    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _around(around: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _around(around: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links to the centres of families, and links between a class that its centre does not link and any other.
 
     Let h be the centre, and let x add a and lack r of its elements. With s differences in common, x and y share
@@ -208,18 +230,19 @@ def _around(around: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     class of the family has is never in common. That rules out almost all classes by counting; the others are paired
     where they share one of their rarest differences, as many of those as the bound requires (prefix filtering).
     """
-    t = PERCENT / 100
+    t = percent / 100
     x_set = sets.select("cls", F.col("hashes").alias("sx"))
     c_set = sets.select(F.col("cls").alias("centre"), F.col("hashes").alias("sc"))
     met = around.join(x_set, "cls").join(c_set, "centre").select("family", "cls", "comp", "centre_comp", "centre", F.size("sc").alias("h"), F.array_except("sx", "sc").alias("a"), F.array_except("sc", "sx").alias("r"))
     # A hash that one class adds is not of the centre, one that another lacks is: the two kinds never mix.
     seen = met.select("family", "cls", "comp", "centre_comp", "centre", "h", F.size("a").alias("added"), F.size("r").alias("lacks"), F.concat("a", "r").alias("diff"))
-    seen = materialise(seen.withColumn("linked", 100 * (F.col("h") - F.col("lacks")) >= PERCENT * (F.col("h") + F.col("added"))), "near-differences")
+    seen = materialise(seen.withColumn("linked", 100 * (F.col("h") - F.col("lacks")) >= percent * (F.col("h") + F.col("added"))), "near-differences")
     # What the centre links is of its component now; pairs inside a component need no look.
     seen = seen.withColumn("comp", F.when(F.col("linked"), F.col("centre_comp")).otherwise(F.col("comp")))
     links = seen.filter("linked").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
     each = seen.select("family", "cls", F.explode("diff").alias("d"))
-    common = materialise(each.join(each.groupBy("family", "d").agg(F.count("*").alias("df")).filter("df > 1"), ["family", "d"]), "near-common")
+    shared = materialise(each.groupBy("family", "d").agg(F.count("*").alias("df")).filter("df > 1"), "near-shared")
+    common = materialise(each.join(shared, ["family", "d"]), "near-common")
     ranked = common.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "d"))).alias("shared"))
     facts = seen.select("family", "cls", "comp", "linked", "added", "lacks", (F.lit(t) * (F.col("h") + F.col("added")) - F.col("h") + F.col("lacks")).alias("q")).join(ranked, "cls")
     size_d, own = F.col("added") + F.col("lacks"), F.size("shared")
@@ -231,15 +254,15 @@ def _around(around: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     need = (F.col("qx") + F.lit(t) * F.col("added") + F.col("lacks")) / (1 + t)
     met = x.join(y, ["family", "e"]).filter((F.col("comp_x") != F.col("comp")) & (F.least("own", "own_x") >= need - 1e-9))
     pairs = materialise(met.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct(), "near-pairs")
-    return links, verify(pairs, sets)
+    return links, verify(pairs, sets, percent)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """The rows of docs, all their columns, less all but one row of each component.
 
     Rows whose text has no word are linked with nothing, so all of them stay.
     """
-    answer = near_duplicates(docs)
+    answer = near_duplicates(docs, rule)
     some = answer.filter("winner and n_shingles > 0").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.col("text_hash").alias("_h")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     named = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64("text").alias("_h"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_words"))

@@ -39,7 +39,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    rule = minhash.Rule(shingle=3, percent=85, bands=24, rows=6)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), rule).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

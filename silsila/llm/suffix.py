@@ -334,11 +334,13 @@ def _bucketed(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """rid, start, windows from rid, raw: stretches of starts whose MIN-byte strings also start elsewhere in the corpus."""
     units = materialise(texts.select("rid", "raw").transform(map_arrow, _units, UNITS), "repeat-units")
-    common = units.groupBy("anchor").agg(F.sum("occ").alias("total")).filter("total > 1").select("anchor")
+    # Tables of their own, here and below: Spark can then split the hot keys of the joins with them.
+    common = materialise(units.groupBy("anchor").agg(F.sum("occ").alias("total")).filter("total > 1").select("anchor"), "repeat-common")
     shared = materialise(units.join(common, "anchor", "left_semi"), "repeat-shared")
     counted = materialise(shared.groupBy("anchor", "hash").agg(F.sum("occ").alias("n"), F.min(F.struct("rid", "start", "unit")).alias("rep")), "repeat-counted")
     settled = [shared.join(counted.filter("n > 1").select("anchor", "hash"), ["anchor", "hash"], "left_semi").select("rid", "start", "windows")]
     several = counted.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.col("rep.unit") + MIN).alias("size")).filter("k > 1").select("anchor", (F.col("size") > BLOCK).alias("hot"))
+    several = materialise(several, "repeat-several")
     wanted = counted.join(several, "anchor").select(F.col("rep.rid").alias("rid"), F.struct("anchor", "hash", "n", F.col("rep.start").alias("start"), F.col("rep.unit").alias("unit"), "hot").alias("u"))
     by_text = wanted.groupBy("rid").agg(F.collect_list("u").alias("units"))
     kinds = "key long, hash long, n long, rid long, start long, hot boolean, content binary"

@@ -36,16 +36,16 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def shingles(text):
+def shingles(text, k=3):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:
         return frozenset()
-    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)])
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)])
 
 
-def near_components(rows):
+def near_components(rows, k=3, percent=85):
     """{place: component} of (id, text) rows by comparing all that share a shingle."""
-    sets, by = [shingles(t) for _, t in rows], collections.defaultdict(list)
+    sets, by = [shingles(t, k) for _, t in rows], collections.defaultdict(list)
     parent = list(range(len(rows)))
 
     def find(x):
@@ -54,13 +54,13 @@ def near_components(rows):
             x = parent[x]
         return x
 
-    for k, s in enumerate(sets):
+    for at, s in enumerate(sets):
         common = collections.Counter(j for x in s for j in by[x])
         for j, n in common.items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
-                parent[find(k)] = find(j)
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                parent[find(at)] = find(j)
         for x in s:
-            by[x].append(k)
+            by[x].append(at)
     least = {}
     for k, (i, _) in enumerate(rows):
         r = find(k)

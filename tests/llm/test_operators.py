@@ -271,15 +271,16 @@ def test_bpe_documents(spark):
 
 
 # ---- 7 near duplicates -----------------------------------------------------------------------------------------------------------
-def _check_near(df):
+def _check_near(df, rule=minhash.Rule(3, 85, 24, 6)):
     rows = h.rows_of(df, "doc_id", "text")
-    want, sets = h.near_components(rows)
-    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect())
+    want, sets = h.near_components(rows, rule.shingle, rule.percent)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, rule).collect())
     assert got == collections.Counter((i, len(s), c if s else i) for (i, _), c, s in zip(rows, want, sets, strict=True))
 
 
 def test_near_brute_force(spark, sf_dir):
     _check_near(h.docs(spark, sf_dir))
+    _check_near(h.docs(spark, sf_dir), minhash.Rule())
 
 
 def test_near_families(spark):

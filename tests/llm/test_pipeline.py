@@ -19,7 +19,7 @@ def test_stages(spark, sf_dir):
 
     unique = materialise(stages["near_dedup"](spark, good, sf_dir), "t")
     rows = h.rows_of(good, "doc_id", "text")
-    comp, _ = h.near_components(rows)
+    comp, _ = h.near_components(rows, 5, 80)
     assert sorted(r.doc_id for r in unique.collect()) == sorted(set(comp)) and unique.columns == docs.columns
 
     cut = materialise(stages["suffix_dedup"](spark, unique, sf_dir), "t")
