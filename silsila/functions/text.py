@@ -276,6 +276,11 @@ def display_name(surface: Column, full: Column) -> Column:
     return F.when(F.coalesce(full, F.lit("")) == "", surface).when((n(full) < n(surface)) | (n(full) > 6), surface).otherwise(full)
 
 
+def settled_name(c: Column) -> Column:
+    """A name up to the first other reading that the sources add to it."""
+    return F.trim(F.get(F.split(c, r"\s*[،,]?\s*(?:ويقال|وقيل|وقال|:)\s"), F.lit(0)))
+
+
 def short_name(author: Column) -> Column:
     return F.element_at(F.split(F.trim(F.regexp_replace(author, r"\s*\(d\..*\)\s*$", "")), r"\s+"), -1)
 

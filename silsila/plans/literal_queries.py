@@ -60,7 +60,8 @@ cases("clean_entry", text.clean_entry, [("أنس PageV01P123 بن ms239 مالك
 cases("class_in_entry", text.class_in_entry, [("فلان من العاشرة مات", 10), ("فلان صحابي مشهور", 1), ("من رؤوس الطبقة السابعة", 7), ("فلان بن فلان", None)])
 cases("death_in_entry", text.death_in_entry, [("ثقة مات سنة سبع عشرة وله ثمانون سنة", 17), ("مات سنة ست وأربعين", 46), ("ثقة", None)])
 cases("display_name", text.display_name, [("الزهري", "محمد بن مسلم", "محمد بن مسلم"), ("عمر بن الخطاب", "عمر", "عمر بن الخطاب"), ("x", "", "x"), ("x", "a b c d e f g", "x")])
-cases("settled_name", lambda c: F.trim(F.get(F.split(c, r"[\[(،؛]"), F.lit(0))), [("زيد بن ثابت (صحابي)", "زيد بن ثابت"), ("زيد", "زيد")])
+cases("settled_name", text.settled_name, [("عبد الرحمن بن صخر ، وقيل : عبد الرحمن بن غنم", "عبد الرحمن بن صخر"), ("زيد ويقال عمرو", "زيد"), ("زيد", "زيد")])
+cases("non_name_spans", lambda c: F.array_contains(F.array(*map(F.lit, parse.NON_NAME_SPANS)), text.normalise_key(c)), [("قوله", "true"), ("رجل", "true"), ("زيد", "false"), ("امرأة", "true")])
 cases("short_name", text.short_name, [("Muḥammad al-Bukhārī (d. 256 AH)", "al-Bukhārī"), ("Muslim", "Muslim")])
 cases("kunya_variants", lambda c: _list(text.kunya_variants(c)), [("ابي هريره", "ابي هريره|ابو هريره"), ("انسا", "انسا|انس"), ("ابو بكر", "ابو بكر|ابي بكر"), ("عمر", "عمر")])
 cases("strip_titles", lambda c: F.array_join(text.strip_titles(F.split(c, " ")), " "), [("امير المومنين عمر", "عمر"), ("الامام مالك", "مالك"), ("الامام", "الامام"), ("مالك الامام", "مالك الامام")])

@@ -147,3 +147,26 @@ def test_layout_relaxes_inside_the_disc(spark):
     links = spark.createDataFrame([("v", "0", "5", 4.0)], "view string, src string, dst string, weight double")
     out = {r.id: r for r in relax(nodes, links, 50).collect()}
     assert len(out) == 6 and abs(out["0"].x - out["5"].x) < 5 and out["3"].x == 3.0
+
+
+def test_cache_retries_and_remembers(tmp_path):
+    from silsila.sources.cache import NotFound, fetch_cached
+
+    calls, waits = [], []
+
+    def flaky(key):
+        calls.append(key)
+        if len(calls) < 3:
+            raise OSError("later")
+        return "body"
+
+    assert fetch_cached("u", flaky, str(tmp_path), sleep=waits.append) == "body" and waits == [2.0, 4.0]
+    assert fetch_cached("u", flaky, str(tmp_path)) == "body" and len(calls) == 3
+
+    def gone(key):
+        calls.append(key)
+        raise NotFound(key)
+
+    with pytest.raises(NotFound):
+        fetch_cached("v", gone, str(tmp_path), sleep=waits.append)
+    assert len(calls) == 4
