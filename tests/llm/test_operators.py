@@ -189,6 +189,19 @@ def test_neighbours_recall(spark, monkeypatch):
     assert _recall(spark, [(i, x.tolist()) for i, x in enumerate(v)]) >= 0.9
 
 
+@pytest.mark.parametrize("n", [2000, 8000, 24000])
+def test_neighbours_recall_follows_size(spark, monkeypatch, n):
+    """Twelve of the least windows are 1.3, 0.34 and 0.11 times these tables; tiles are held small, so wide windows touch several."""
+    monkeypatch.setattr(hilbert, "BLOCK", 128)
+    monkeypatch.setattr(hilbert, "MARGIN", 48)
+    monkeypatch.setattr(hilbert, "TILE_NUMBERS", 512 * 32, raising=False)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((10, 32))
+    v = centres[rng.integers(0, 10, n)] + 0.4 * rng.standard_normal((n, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    assert _recall(spark, [(i, x.tolist()) for i, x in enumerate(v)]) >= 0.9
+
+
 def test_neighbours_awkward(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [0.5, 0.5]), (9, [2.0, 0.0]), (20, [0.0, 0.0]), (40, [1.0, 0.0]), (None, [1.0, 0.0]), (6, [float("inf"), 1.0]), (60, [1.0, 2.0, 3.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rep", F.lit(1))
