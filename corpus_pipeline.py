@@ -23,8 +23,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the long strings that also start elsewhere; a text may become empty but its row stays."""
-    return suffix.without_repeats(docs)
+    """Texts without the long strings and the passages of over 50 words that stand elsewhere too; a text may become empty but its row stays."""
+    return suffix.without_repeats(docs, words=suffix.PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

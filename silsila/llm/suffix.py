@@ -14,6 +14,9 @@ Intervals are extended run by run of the transform, so wide intervals of repetit
 
 An anchor with more units than a block holds is split: windows in steps of their distance from the anchor share a
 core, whose hash is a finer anchor. Steps shrink to single windows, which are settled by counting alone.
+
+Passages of a number of words can be removed too, whatever their bytes: windows of so many words whose least gram of
+WORD_GRAM words occurs once are unique; the others are hashed and counted one by one.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, map_arrow, materialise, mix64, shared_dir, span_hashes, utf8
+from .common import _powers, chunks, flat, map_arrow, materialise, mix64, shared_dir, span_hashes, utf8, word_spans
 
 MIN, GRAM = 400, 32
 GRAMS = MIN - GRAM + 1
@@ -37,6 +40,8 @@ BLOCK = 1 << 18
 STEPS = (47, 6, 1)
 #: A longer text is searched for units in overlapping segments of this size.
 SEGMENT = 1 << 20
+#: Words of a passage that pipelines remove wherever it repeats, and of the grams that windows of words meet by.
+PASSAGE, WORD_GRAM = 51, 8
 _BYTE = mix64(np.arange(1, 257).astype(np.uint64))
 
 UNITS = "rid long, start long, windows int, unit int, anchor long, hash long, occ int"
@@ -52,9 +57,9 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
-def anchors(grams: np.ndarray) -> np.ndarray:
-    """For each window of GRAMS grams the place of the least (40 bits of it, then the leftmost): block-wise running minima."""
-    n, w = len(grams), GRAMS
+def anchors(grams: np.ndarray, width: int = GRAMS) -> np.ndarray:
+    """For each window of `width` grams the place of the least (40 bits of it, then the leftmost): block-wise running minima."""
+    n, w = len(grams), width
     low = (grams & np.uint64(0xFFFFFFFFFF000000)) | np.arange(n).astype(np.uint64)
     padded = np.full(-(-n // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
     padded[:n] = low
@@ -365,24 +370,93 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return out
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` hashes."""
+    up, down = _powers(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix64((total[size:] - total[:-size]) * down[: len(hashes) - size + 1])
+
+
+def word_windows(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """(start, end, row, place, anchor, hash) of all windows of `words` words, by their words whatever is between them."""
+    starts, ends, first = word_spans(data, offsets)
+    n, width = len(starts) - words + 1, words - WORD_GRAM + 1
+    if n <= 0:
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    hashes, row = span_hashes(data, starts, ends), np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.flatnonzero(row[:n] == row[words - 1 :])
+    grams = _rolled(hashes, WORD_GRAM)
+    place = np.concatenate([anchors(grams[a : a + SEGMENT + width - 1], width) + a for a in range(0, n, SEGMENT)])[at]
+    return starts[at], ends[at + words - 1], row[at], place, grams[place].view(np.int64), _rolled(hashes, words)[at].view(np.int64)
+
+
+def _word_anchors(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "raw"):
+                _, _, row, place, anchor, _ = word_windows(*flat(batch, "raw"), words)
+                _, once = np.unique(place, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy(zero_copy_only=False)[row[once]]), pa.array(anchor[once])], ["rid", "anchor"])
+
+    return run
+
+
+def _candidates(words: int):
+    """The windows whose anchor is one of their row's shared ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "raw"):
+                data, offsets = flat(batch, "raw")
+                start, end, row, _, anchor, hashes = word_windows(data, offsets, words)
+                lists = batch.column(2).to_pylist()
+                of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                shared = np.array([x for one in lists for x in one], np.int64)
+                key = lambda r, a: mix64(r.astype(np.uint64) + np.uint64(1)) ^ a.view(np.uint64)
+                at = np.flatnonzero(np.isin(key(row, anchor), key(of, shared)))
+                start, end, row = start[at], end[at], row[at]
+                rid = batch.column(0).to_numpy(zero_copy_only=False)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start - offsets[row]), pa.array((end - start).astype(np.int32)), pa.array(hashes[at])], ["rid", "start", "size", "hash"])
+
+    return run
+
+
+def repeated_passages(texts: DataFrame, words: int) -> DataFrame:
+    """rid, start, size in bytes, from rid, raw: all stretches of `words` words that also stand elsewhere in the corpus."""
+    met = materialise(texts.select("rid", "raw").transform(map_arrow, _word_anchors(words), "rid long, anchor long"), "passage-anchors")
+    common = materialise(met.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "passage-common")
+    shared = materialise(met.join(common, "anchor", "left_semi"), "passage-shared")
+    by_text = shared.groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
+    found = texts.select("rid", "raw").join(by_text, "rid").select("rid", "raw", "anchors").transform(map_arrow, _candidates(words), "rid long, start long, size int, hash long")
+    found = materialise(found, "passage-windows")
+    twice = materialise(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "passage-twice")
+    return found.join(twice, "hash", "left_semi").select("rid", "start", "size")
+
+
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False, words: int | None = None) -> DataFrame:
     """row (struct of the carried columns), n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept_text.
 
     Each byte that a MIN-byte string covers which also starts elsewhere in the corpus (this row or another) is
     removed, judged on the input. A null text is empty; texts of fewer than MIN bytes lose nothing; repeated rows are
     rows of their own, so both lose what they share; an empty table gives no rows. kept_text cuts at whole characters:
-    a character that is only partly covered stays.
+    a character that is only partly covered stays. With `words`, stretches of so many words (WORD_GRAM at least) that
+    also stand elsewhere, with whatever white space between them, are removed as well, however few bytes they have.
     """
     texts = _bucketed(docs, carry)
-    spans = repeated_spans(texts).groupBy("rid").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    spans = repeated_spans(texts)
+    if words:
+        # A span ends MIN - 1 bytes after the last of its windows, so a short passage has a negative number of them.
+        spans = spans.unionByName(repeated_passages(texts, words).select("rid", "start", (F.col("size") - MIN + 1).alias("windows")))
+    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     joined = texts.join(spans.withColumnRenamed("rid", "of"), F.col("rid") == F.col("of"), "left").select("row", "raw", "spans")
     kind = joined.schema["row"].dataType.simpleString()
     return joined.transform(map_arrow, _digest(MIN, with_text), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else ""))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
     """The rows of docs with text, and n_chars if there is one, less the repeated strings; null texts stay null."""
-    out = remove_repeats(docs, tuple(docs.columns), with_text=True)
+    out = remove_repeats(docs, tuple(docs.columns), with_text=True, words=words)
     text = F.when(F.col("row.text").isNotNull(), F.col("kept_text"))
     new = {"text": text, **({"n_chars": F.when(F.col("row.text").isNull(), F.col("row.n_chars")).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import random
+import re
 
 import corpus_pipeline as cp
 from silsila.llm.common import materialise
@@ -44,3 +46,36 @@ def test_stages_on_nothing(spark, sf_dir):
     docs = h.docs(spark, sf_dir).limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def _without_passages(raws, words=51, least=400):
+    """Kept bytes by counting all strings of `least` bytes and all runs of `words` words."""
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in raws]
+    runs = [[tuple(b[x:y] for x, y in s[i : i + words]) for i in range(len(s) - words + 1)] for b, s in zip(raws, spans, strict=True)]
+    seen = collections.Counter(w for r in runs for w in r)
+    strings = collections.Counter(b[a : a + least] for b in raws for a in range(len(b) - least + 1))
+    out = []
+    for b, s, r in zip(raws, spans, runs, strict=True):
+        gone = [False] * len(b)
+        cuts = [(s[i][0], s[i + words - 1][1]) for i, w in enumerate(r) if seen[w] > 1]
+        cuts += [(a, a + least) for a in range(len(b) - least + 1) if strings[b[a : a + least]] > 1]
+        for x, y in cuts:
+            gone[x:y] = [True] * (y - x)
+        out.append(bytes(c for c, g in zip(b, gone, strict=True) if not g))
+    return out
+
+
+def test_passages_of_over_50_words(spark, sf_dir):
+    """Planted passages of 51 words, of the shortest words and of common ones, and benchmark items; 50 words stay."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    noise = lambda n: " ".join(word() for _ in range(n))
+    short, common, fifty = " ".join(rng.choices("abcdefghij", k=51)), noise(51), noise(50)
+    items = [t for (t,) in h.rows_of(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "text") if len(t.split()) > 50][:3]
+    assert items
+    texts = [f"{noise(rng.randint(0, 60))} {p} {noise(rng.randint(0, 60))}" for p in [short, common, fifty, *items] for _ in range(3)]
+    texts += [common.replace(" ", "\n"), f"{noise(30)} {common} {common} {noise(9)}", "x y " * 80, noise(40)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in dict(cp.STAGES)["suffix_dedup"](spark, docs, sf_dir).collect()}
+    assert [got[i] for i in range(len(texts))] == [b.decode() for b in _without_passages([t.encode() for t in texts])]
+    assert not any(p in t for t in got.values() for p in (short, common, *items)) and sum(fifty in t for t in got.values()) == 3
