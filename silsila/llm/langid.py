@@ -29,7 +29,7 @@ def identify(docs: DataFrame) -> DataFrame:
     Trained on rows with non-null lang that are not held out; lang and doc_id serve training only. lang_pred is 'und'
     with score 0 where the text is null, empty or has no letter, and everywhere when nothing could be learned. Equal
     entropies go to the language that is first by code point. Repeated rows are scored each; an empty table gives no
-    rows; a null id is not held out. Languages after the 64th by code point are not learned.
+    rows; a null id is not held out. Every language that occurs in a training row is learned.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "lang", utf8("text").alias("raw"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))

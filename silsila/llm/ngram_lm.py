@@ -21,8 +21,8 @@ from .common import chunks, flat, map_arrow
 
 CLASSES, ORDER = 32, 4
 CODES = CLASSES**ORDER
-#: More languages than this share one model: those after the first by code point.
-MOST_LANGUAGES = 64
+#: Languages whose counts or dense rows of scores a worker holds at once; there may be any number of them.
+HELD = 64
 
 
 def fold_table() -> np.ndarray:
@@ -65,6 +65,12 @@ def count_ngrams(docs: DataFrame, languages: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+
+        def counted(k: int) -> pa.RecordBatch:
+            counts = total.pop(k)
+            at = np.flatnonzero(counts)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["lang_id", "code", "n"])
+
         for whole in batches:
             for batch in chunks(whole, "raw"):
                 data, offsets = flat(batch, "raw")
@@ -72,10 +78,11 @@ def count_ngrams(docs: DataFrame, languages: list[str]) -> DataFrame:
                 codes, of = codes_of(data, offsets), np.repeat(ids, np.diff(offsets))
                 for k in np.unique(of):
                     got = np.bincount(codes[of == k], minlength=CODES)
+                    if int(k) not in total and len(total) >= HELD:
+                        yield counted(next(iter(total)))
                     total[int(k)] = total[int(k)] + got if int(k) in total else got
-        for k, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["lang_id", "code", "n"])
+        for k in list(total):
+            yield counted(k)
 
     return docs.select("lang", "raw").transform(map_arrow, run, "lang_id int, code int, n long").groupBy("lang_id", "code").agg(F.sum("n").alias("n"))
 
@@ -159,8 +166,8 @@ def _look(pair: tuple[np.ndarray, np.ndarray], codes: np.ndarray, order: int) ->
 
 
 def languages_of(docs: DataFrame) -> list[str]:
-    """The first MOST_LANGUAGES non-null values of lang by code point."""
-    return [r.lang for r in docs.filter(F.col("lang").isNotNull()).select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES).collect()]
+    """All non-null values of lang by code point."""
+    return [r.lang for r in docs.filter(F.col("lang").isNotNull()).select("lang").distinct().orderBy("lang").collect()]
 
 
 def fit_models(docs: DataFrame, languages: list[str], least: int = 1) -> dict[int, KneserNey]:
@@ -170,13 +177,21 @@ def fit_models(docs: DataFrame, languages: list[str], least: int = 1) -> dict[in
 
 
 class Scorer:
-    """Looks each distinct code up once a worker; then a text's score is a sum over a dense row of 2**20 floats."""
+    """Looks each distinct code up once a worker; then a text's score is a sum over a dense row of 2**20 floats.
+
+    The first HELD languages that are asked for have such rows; for others a batch's distinct codes are looked up.
+    """
 
     def __init__(self, models: dict[int, KneserNey]):
         self.models = models
-        self.rows = {k: np.full(CODES, np.nan, np.float32) for k in models}
+        self.rows: dict[int, np.ndarray] = {}
 
     def log_probabilities(self, k: int, codes: np.ndarray) -> np.ndarray:
+        if k not in self.rows and len(self.rows) >= HELD:
+            own, at = np.unique(codes, return_inverse=True)
+            return self.models[k].log_probability(own).astype(np.float32)[at]
+        if k not in self.rows:
+            self.rows[k] = np.full(CODES, np.nan, np.float32)
         row = self.rows[k]
         got = row[codes]
         if np.isnan(got).any():

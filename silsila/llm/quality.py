@@ -78,8 +78,8 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 def assess(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """row (struct of the carried columns), lang, the base counts, base_failed, perplexity, band_low, band_high, kept.
 
-    A null or empty text has no words and fails the base rules; a null lang is a language of its own, as are all
-    languages after the 64th by code point together; repeated rows are judged each; an empty table gives no rows.
+    A null or empty text has no words and fails the base rules; a null lang is a language of its own; repeated rows are
+    judged each; an empty table gives no rows.
     Texts of fewer than MIN_BYTES bytes are kept on the base rules alone. Every text is read whole; one longer than
     the working chunk stands alone in it.
     """
@@ -115,7 +115,7 @@ def assess(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         narrow = materialise(scored.select("lang_id", "n_bytes", "entropy"), "quality-entropy")
     quartiles = F.percentile_approx("entropy", [0.25, 0.75], 1000)
     bands = narrow.filter(F.col("n_bytes") >= MIN_BYTES).groupBy("lang_id").agg(quartiles.alias("q"))
-    found = {r.lang_id: r.q for r in bands.collect()}  # at most MOST_LANGUAGES + 1 rows
+    found = {r.lang_id: r.q for r in bands.collect()}  # a row a language
     limits = {k: (q[0] - REACH_LOW * max(q[1] - q[0], LEAST_RANGE), q[1] + REACH_HIGH * max(q[1] - q[0], LEAST_RANGE)) for k, q in found.items()}
     low = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v[0])]) if limits else F.create_map().cast("map<int,double>")
     high = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v[1])]) if limits else F.create_map().cast("map<int,double>")

@@ -346,6 +346,29 @@ def test_language_awkward(spark):
     assert langid.identify(h.empty(spark)).count() == 0
 
 
+def _many_languages(spark):
+    """Ninety languages, each with an alphabet and words of its own."""
+    rows = []
+    for k in range(90):
+        rng = np.random.default_rng(k)
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)]
+        rows += [(k * 40 + i, " ".join(rng.choice(words, 40)), f"l{k:02d}") for i in range(12)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_language_of_over_64(spark):
+    d = _many_languages(spark)
+    out = langid.identify(d).join(d, "doc_id").filter("held_out").collect()
+    late = [r for r in out if r.lang >= "l64"]
+    assert len(late) > 20 and sum(r.lang == r.lang_pred for r in late) >= 0.95 * len(late)
+
+
+def test_quality_bands_of_over_64(spark):
+    d = _many_languages(spark)
+    bands = {(r.lang, r.band_low, r.band_high) for r in quality.assess(d).collect()}
+    assert len(bands) == 90 and len({b[1:] for b in bands}) > 80
+
+
 def test_kneser_ney_sums_to_one():
     from silsila.llm.ngram_lm import CLASSES, KneserNey, codes_of
 
