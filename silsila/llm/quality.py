@@ -26,8 +26,9 @@ MOST_REPEATED_PERCENT = 20
 REACH_LOW, REACH_HIGH, LEAST_RANGE = 4.0, 12.0, 0.05
 #: N-grams that occur less often in a language are not learned: the scored text is itself part of the corpus.
 LEAST_COUNT = 2
-#: Perplexity of shorter texts is too uncertain to reject on, and to set a band with.
-MIN_BYTES = 200
+#: Perplexity of shorter texts is uncertain: their bounds are wider by so many standard errors, as far as these exceed
+#: the ones of a text of MIN_BYTES, and they set a band only where there are few longer texts in the language.
+MIN_BYTES, ERRORS, FEW = 200, 4.0, 20
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -80,8 +81,8 @@ def assess(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     A null or empty text has no words and fails the base rules; a null lang is a language of its own; repeated rows are
     judged each; an empty table gives no rows.
-    Texts of fewer than MIN_BYTES bytes are kept on the base rules alone. Every text is read whole; one longer than
-    the working chunk stands alone in it.
+    The bounds of texts of fewer than MIN_BYTES bytes widen with the standard error of the mean log probability at
+    their length. Every text is read whole; one longer than the working chunk stands alone in it.
     """
     spark = docs.sparkSession
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "lang", utf8("text").alias("raw"))
@@ -113,15 +114,22 @@ def assess(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         narrow = scored
     else:
         narrow = materialise(scored.select("lang_id", "n_bytes", "entropy"), "quality-entropy")
-    quartiles = F.percentile_approx("entropy", [0.25, 0.75], 1000)
-    bands = narrow.filter(F.col("n_bytes") >= MIN_BYTES).groupBy("lang_id").agg(quartiles.alias("q"))
-    found = {r.lang_id: r.q for r in bands.collect()}  # a row a language
-    limits = {k: (q[0] - REACH_LOW * max(q[1] - q[0], LEAST_RANGE), q[1] + REACH_HIGH * max(q[1] - q[0], LEAST_RANGE)) for k, q in found.items()}
-    low = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v[0])]) if limits else F.create_map().cast("map<int,double>")
-    high = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v[1])]) if limits else F.create_map().cast("map<int,double>")
+    quartiles = lambda x: F.percentile_approx(x, [0.25, 0.5, 0.75], 1000)
+    long, some = F.col("n_bytes") >= MIN_BYTES, F.col("n_bytes") > 0
+    bands = narrow.groupBy("lang_id").agg(F.count(F.when(long, 1)).alias("n_long"), quartiles(F.when(long, F.col("entropy"))).alias("q_long"), quartiles(F.when(some, F.col("entropy"))).alias("q_all"))
+    bands = materialise(bands.select(F.col("lang_id").alias("band_of"), F.when(F.col("n_long") >= FEW, F.col("q_long")).otherwise(F.col("q_all")).alias("q")), "quality-bands")
+    # The deviation of one byte's log probability, from the median distance of short texts: entropy is a mean over n_bytes.
+    short = narrow.filter(some & ~long).join(bands, F.col("lang_id") == F.col("band_of"))
+    spread = short.groupBy("lang_id").agg((F.percentile_approx(F.abs(F.col("entropy") - F.col("q")[1]) * F.sqrt("n_bytes"), 0.5, 1000) / 0.6745).alias("one"))
+    spread = materialise(spread.withColumnRenamed("lang_id", "spread_of"), "quality-spread")
+    limits = materialise(bands.join(spread, F.col("band_of") == F.col("spread_of"), "left").select("band_of", "q", F.coalesce("one", F.lit(0.0)).alias("one")), "quality-limits")
+    scored = scored.join(limits, F.col("lang_id") == F.col("band_of"), "left")
+    width = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(LEAST_RANGE))
+    more = F.when(some & ~long, ERRORS * F.col("one") * (1 / F.sqrt("n_bytes") - 1 / MIN_BYTES**0.5)).otherwise(F.lit(0.0))
+    low, high = F.col("q")[0] - REACH_LOW * width - more, F.col("q")[2] + REACH_HIGH * width + more
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    within = (F.col("n_bytes") < MIN_BYTES) | F.coalesce((F.col("entropy") >= low[F.col("lang_id")]) & (F.col("entropy") <= high[F.col("lang_id")]), F.lit(True))
-    return scored.select("row", "lang", *[c.split()[0] for c in STATS.split(", ")], failed.alias("base_failed"), (~failed & within).alias("kept"), F.exp("entropy").alias("perplexity"), F.exp(low[F.col("lang_id")]).alias("band_low"), F.exp(high[F.col("lang_id")]).alias("band_high"))
+    within = F.coalesce((F.col("entropy") >= low) & (F.col("entropy") <= high), F.lit(True))
+    return scored.select("row", "lang", *[c.split()[0] for c in STATS.split(", ")], failed.alias("base_failed"), (~failed & within).alias("kept"), F.exp("entropy").alias("perplexity"), F.exp(low).alias("band_low"), F.exp(high).alias("band_high"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

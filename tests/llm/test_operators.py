@@ -152,6 +152,18 @@ def test_quality_rejects_outliers(spark, sf_dir):
     assert not r.base_failed and not r.kept and r.perplexity > r.band_high
 
 
+def test_quality_judges_short_texts(spark, sf_dir):
+    """Gibberish of ten words and more in under 200 bytes is rejected; short sentences labelled good stay."""
+    d = h.docs(spark, sf_dir).select("doc_id", "text", "lang")
+    rng = np.random.default_rng(4)
+    junk = " ".join("".join(rng.choice(list("qxzjvkw"), 9)) for _ in range(14))
+    out = quality.assess(d.union(spark.createDataFrame([(-1, junk, "en")], d.schema))).collect()
+    odd = next(r for r in out if r.row.doc_id == -1)
+    assert len(junk) < 200 and not odd.base_failed and not odd.kept and odd.perplexity > odd.band_high
+    short = {i for i, t, q in h.rows_of(d.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id"), "doc_id", "text", "quality") if q == 1 and len((t or "").encode()) < 200}
+    assert all(r.kept for r in out if r.row.doc_id in short and not r.base_failed)
+
+
 def test_quality_awkward(spark):
     out = quality.assess(h.awkward(spark)).collect()
     assert len(out) == 12 and sum(r.n_words == 0 for r in out) == 4 and all(r.kept is not None for r in out)
