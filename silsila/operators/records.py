@@ -147,3 +147,9 @@ def grid_pairs(points: DataFrame, within: float) -> DataFrame:
     b = points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("z").alias("bz"), cell(F.col("x")).alias("gx"), cell(F.col("z")).alias("gz"))
     distance = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("az") - F.col("bz"), 2))
     return a.join(b, ["gx", "gz"]).filter(F.col("a") < F.col("b")).select("a", "b", distance.alias("distance")).filter(F.col("distance") < within)
+
+
+def present_only(claims: DataFrame, present: DataFrame) -> DataFrame:
+    """id, others: of whom each id names (claims: id, other), those who are present (id), in order; none is no row."""
+    kept = claims.join(present.select(F.col("id").alias("other")), "other", "left_semi")
+    return kept.groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("others"))

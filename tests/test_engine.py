@@ -65,13 +65,26 @@ def test_name_search_across_scripts(spark):
     assert names.search(people, "x").count() == 0
 
 
-def test_chain_parser_limits():
+def _parsed(spark, prose, kin=None, attested=None):
+    return parse.parse_chains(spark.createDataFrame([(prose,)], "text string"), kin, attested).first().parsed
+
+
+def test_chain_parser_limits(spark):
     many = "حدثنا " + " عن ".join(f"زيد بن {w}" for w in "عمرو بكر خالد صالح سالم نافع مالك سعيد هشام حماد شعبة وكيع قتيبة يونس معمر عقيل ثابت حميد".split())
-    parsed = parse.parse_chain(many)
+    parsed = _parsed(spark, many)
     assert len(parsed.names) == parse.MAX_LINKS and not parsed.reached
     kin = {"father": {text.key_of("هشام بن عروة"): "عروة بن الزبير"}}
-    assert parse.parse_chain("حدثنا هشام بن عروة، عن أبيه، عن عائشة قالت", kin).names == ["هشام بن عروة", "عروة بن الزبير", "عائشة"]
-    assert parse.parse_chain(None).names == []
+    assert _parsed(spark, "حدثنا هشام بن عروة، عن أبيه، عن عائشة قالت", kin).names == ["هشام بن عروة", "عروة بن الزبير", "عائشة"]
+    assert _parsed(spark, None).names == []
+
+
+def test_chain_parser_strangers(spark):
+    """Beyond two names a stranger ends the chain unless it is attested or built like a name; what is told backward is turned."""
+    text_ = "حدثنا زيد بن ثابت، عن هشام بن عروة، عن خالد، عن مالك بن أنس قال"
+    known = spark.createDataFrame([("خالد",)], "key string")
+    assert _parsed(spark, text_, attested=known).names == ["زيد بن ثابت", "هشام بن عروة", "خالد", "مالك بن أنس"]
+    assert _parsed(spark, text_, attested=known.limit(0)).names == ["زيد بن ثابت", "هشام بن عروة"]
+    assert _parsed(spark, "حدثنا زيد بن ثابت، أن هشام بن عروة أخبره، عن عائشة قالت").names == ["زيد بن ثابت", "هشام بن عروة", "عائشة"]
 
 
 def test_alignment_vetoes_and_ties(spark):
