@@ -10,6 +10,8 @@ from ..functions.hashing import shard_column, shard_for
 
 #: A posting list is stored in blocks of so many ordinals, so no list grows with the corpus.
 BLOCK = 1 << 20
+#: Values in a delta-coded run.
+RUN = 128
 SHARDS, MIN_PAIR_DOCS, MAX_SHARE, LEAST_CEILING = 64, 3, 0.12, 200
 MATCH_SHARE, MAX_RESULTS = 0.6, 2000
 
@@ -65,12 +67,34 @@ def delta_encode(a: Column) -> Column:
 
 
 def delta_decode(a: Column) -> Column:
+    """Running sums, by growing an array: for arrays of bounded length (RUN) only."""
     step = lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))))
     return F.aggregate(a, F.array().cast("array<bigint>"), step)
 
 
+def runs(a: Column) -> Column:
+    """An ascending array as delta-coded pieces of RUN values, each with its first value whole."""
+    starts = F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: delta_encode(F.slice(a, at, RUN)))
+
+
+def unrun(a: Column) -> Column:
+    """The array of runs; work grows with its length."""
+    return F.flatten(F.transform(a, delta_decode))
+
+
 def write_index(index: DataFrame, path: str) -> None:
-    index.withColumn("deltas", delta_encode(F.col("ordinals"))).drop("ordinals").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Postings by shard, and the vocabulary (term, df) beside them."""
+    index.withColumn("deltas", runs(F.col("ordinals"))).drop("ordinals").repartitionByRange("shard", "term").sortWithinPartitions("shard", "term", "block").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+    read_index(index.sparkSession, path).select("term", "df").distinct().write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def read_index(spark, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/postings")
+
+
+def vocabulary(spark, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/terms")
 
 
 def query_terms(spark, query: str) -> tuple[list[str], list[str]]:
@@ -82,7 +106,8 @@ def query_terms(spark, query: str) -> tuple[list[str], list[str]]:
 def read_terms(spark, path: str, terms: list[str]) -> DataFrame:
     """The postings of some terms: only their shards are read."""
     shards = sorted({shard_for(t, SHARDS) for t in terms})
-    return spark.read.parquet(path).filter(F.col("shard").isin(shards) & F.col("term").isin(terms)).withColumn("ordinals", delta_decode(F.col("deltas")))
+    found = read_index(spark, path).filter(F.col("shard").isin(shards) & F.col("term").isin(terms))
+    return found.withColumn("ordinals", unrun(F.col("deltas"))).drop("deltas")
 
 
 def search(index: DataFrame, words: list[str], pairs: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from ..functions import text
 from ..functions.hashing import shard_column
 from ..operators import chains, generations, index, names, records
 from ..sources import corpus
+from ..sources.store import forget_at_exit, shared_dir
 from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,48 +64,71 @@ def postings(spark, sf):
 @query(f"WITH {sql.POSTINGS}, dl AS (SELECT term, ordinal, ordinal - coalesce(lag(ordinal) OVER (PARTITION BY term ORDER BY ordinal), 0) AS delta FROM post) SELECT term, string_agg(delta::VARCHAR, ',' ORDER BY ordinal) AS deltas, true AS round_trip FROM dl GROUP BY term")
 def postings_delta(spark, sf):
     p = index.postings(_docs(spark, sf)).withColumn("deltas", index.delta_encode(F.col("ordinals")))
-    return p.select("term", _joined(F.col("deltas")).alias("deltas"), (index.delta_decode(F.col("deltas")) == F.col("ordinals")).alias("round_trip"))
+    return p.select("term", _joined(F.col("deltas")).alias("deltas"), (index.unrun(index.runs(F.col("ordinals"))) == F.col("ordinals")).alias("round_trip"))
 
 
-SEARCH = "rights reserved license idiot clown worthless"
+#: The needle is in the data at every scale: the pair of kept words that most documents have, and a word of none.
 _SEARCH_SQL = sql.POSTINGS + """,
-q AS (SELECT unnest(['rights', 'reserved', 'license', 'idiot', 'clown', 'worthless']) AS term),
-qp AS (SELECT unnest(['rights reserved', 'reserved license', 'license idiot', 'idiot clown', 'clown worthless']) AS term),
+words AS (SELECT term FROM kept WHERE NOT contains(term, ' ')),
+needle AS (SELECT term FROM kept WHERE contains(term, ' ') AND split_part(term, ' ', 1) IN (SELECT term FROM words) AND split_part(term, ' ', 2) IN (SELECT term FROM words) ORDER BY df DESC, term LIMIT 1),
+q AS (SELECT unnest([split_part(term, ' ', 1), split_part(term, ' ', 2), 'zzzunknown']) AS term FROM needle),
+qp AS (SELECT unnest([term, split_part(term, ' ', 2) || ' zzzunknown']) AS term FROM needle),
 need AS (SELECT greatest(1, ceil(count(DISTINCT term) * CAST(0.6 AS DOUBLE))) AS need FROM post WHERE term IN (SELECT term FROM q)),
 hit AS (SELECT ordinal, count(*) FILTER (WHERE term IN (SELECT term FROM q)) AS words, count(*) FILTER (WHERE term IN (SELECT term FROM qp)) AS pairs FROM post GROUP BY ordinal),
 res AS (SELECT ordinal, words, pairs, words + 2 * pairs AS score FROM hit WHERE words > 0 AND words >= (SELECT need FROM need))"""
+_INDEXES: dict[tuple[str, str], str] = {}
 
 
-def _search(spark, sf) -> DataFrame:
-    words, pairs = index.query_terms(spark, SEARCH)
-    return index.search(index.postings(_docs(spark, sf)), words, pairs)
+def stored_index(spark, sf) -> str:
+    """Where the index of a corpus lies: written by the first search of a session, read by shards from then on."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        path = f"{shared_dir(spark)}/tables/index-{uuid.uuid4().hex}"
+        index.write_index(index.postings(_docs(spark, sf)), path)
+        forget_at_exit(spark, path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+def _needle(spark, sf) -> str:
+    terms = index.vocabulary(spark, stored_index(spark, sf))
+    words = terms.filter(~F.col("term").contains(" ")).select("term")
+    pairs = terms.filter(F.col("term").contains(" "))
+    for k, side in enumerate(("first", "second")):
+        pairs = pairs.join(words.withColumnRenamed("term", side), F.split("term", " ")[k] == F.col(side), "left_semi")
+    best = pairs.orderBy(F.col("df").desc(), "term").select("term").first()
+    return f"{best.term if best else ''} zzzunknown"
+
+
+def _search(spark, sf) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Results, the postings of the query's terms, its words."""
+    words, pairs = index.query_terms(spark, _needle(spark, sf))
+    read = index.read_terms(spark, stored_index(spark, sf), words + pairs)
+    return index.search(read, words, pairs), read, words
 
 
 @query(f"WITH {_SEARCH_SQL} SELECT ordinal, words, pairs, score FROM res ORDER BY score DESC, ordinal LIMIT 2000")
 def search_loose(spark, sf):
-    return index.ranked(_search(spark, sf))
+    return index.ranked(_search(spark, sf)[0])
 
 
 @query(f"WITH {_SEARCH_SQL} SELECT ordinal, score FROM (SELECT * FROM res ORDER BY score DESC, ordinal LIMIT 2000) WHERE pairs > 0")
 def search_phrase(spark, sf):
-    return index.ranked(_search(spark, sf)).filter("pairs > 0").select("ordinal", "score")
+    return index.ranked(_search(spark, sf)[0]).filter("pairs > 0").select("ordinal", "score")
 
 
 @query(f"WITH {_SEARCH_SQL} SELECT slug, count(*) AS n FROM (SELECT * FROM res ORDER BY score DESC, ordinal LIMIT 2000) JOIN tok USING (ordinal) GROUP BY slug")
 def search_spread(spark, sf):
-    docs = _docs(spark, sf)
-    words, pairs = index.query_terms(spark, SEARCH)
-    found = index.ranked(index.search(index.postings(docs), words, pairs)).select("ordinal")
-    return index.locate(found, index.ordinal_bases(docs)).groupBy("slug").agg(F.count("*").alias("n"))
+    found = index.ranked(_search(spark, sf)[0]).select("ordinal")
+    return index.locate(found, index.ordinal_bases(corpus.texts(spark, sf))).groupBy("slug").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_SEARCH_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE pairs > 0) AS phrase, (SELECT count(*) FROM q WHERE term NOT IN (SELECT term FROM post)) AS unindexed FROM res")
 def search_totals(spark, sf):
-    postings_ = index.postings(_docs(spark, sf))
-    words, pairs = index.query_terms(spark, SEARCH)
-    counts = index.search(postings_, words, pairs).agg(F.count("*").alias("total"), F.count_if(F.col("pairs") > 0).alias("phrase"))
-    have = postings_.filter(F.col("term").isin(words)).agg(F.count_distinct("term").alias("have"))
-    return counts.crossJoin(have).select("total", "phrase", (F.lit(len(words)) - F.col("have")).alias("unindexed"))
+    found, read, words = _search(spark, sf)
+    counts = found.agg(F.count("*").alias("total"), F.count_if(F.col("pairs") > 0).alias("phrase"))
+    have = read.filter(F.col("term").isin(words)).agg(F.count_distinct("term").alias("have"))
+    return counts.crossJoin(have).select("total", "phrase", (F.lit(len(words)) - F.col("have")).alias("unindexed"))  # one row each
 
 
 @query("SELECT source AS slug, count(*) AS n, coalesce(sum(count(*)) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM documents GROUP BY source")
@@ -338,14 +363,14 @@ def grade_positional_join(spark, sf):
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, string_split(lower(p_name), ' ') AS words FROM part),
-e AS (SELECT p_partkey AS entry, string_split(lower(p_name || ' ' || p_type), ' ') AS head FROM part WHERE p_partkey % 5 = 0),
+e AS (SELECT p_partkey AS entry, string_split(lower(p_name || ' ' || p_type), ' ') AS head FROM part),
 ek AS (SELECT entry, unnest(list_transform(range(2, least(len(head), 12) + 1), lambda k: array_to_string(head[1:k], ' '))) AS key FROM e),
 pk AS (SELECT id, k AS matched, array_to_string(words[1:k], ' ') AS key FROM (SELECT id, words, unnest(range(2, least(len(words), 12) + 1)) AS k FROM p)),
 h AS (SELECT id, entry, matched, max(matched) OVER (PARTITION BY id) AS best FROM pk JOIN ek USING (key))
 SELECT id, entry, matched::INT AS matched FROM h WHERE matched = best""")
 def prefix_align(spark, sf):
     part = corpus.read(spark, sf, "part")
-    entries = part.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("entry"), F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ").alias("head"))
+    entries = part.select(F.col("p_partkey").alias("entry"), F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ").alias("head"))
     namings = part.select(F.col("p_partkey").alias("id"), F.lit(0).alias("naming"), F.split(F.lower("p_name"), " ").alias("words"))
     return records.prefix_candidates(entries, namings).select("id", "entry", "matched")
 
@@ -369,14 +394,14 @@ def tie_break(spark, sf):
 
 
 @query("""WITH n AS (SELECT p_partkey AS name_id, string_split(lower(p_name), ' ') AS w FROM part),
-i AS (SELECT key, min(p_partkey) AS id FROM (SELECT p_partkey, unnest([lower(p_name), array_to_string(string_split(lower(p_name), ' ')[1:2], ' '), array_to_string(string_split(lower(p_name), ' ')[2:3], ' ')]) AS key FROM part WHERE p_partkey % 7 = 0) GROUP BY key),
+i AS (SELECT key, min(p_partkey) AS id FROM (SELECT p_partkey, unnest([lower(p_name), array_to_string(string_split(lower(p_name), ' ')[1:2], ' '), array_to_string(string_split(lower(p_name), ' ')[2:3], ' ')]) AS key FROM part) GROUP BY key),
 s AS (SELECT name_id, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS st FROM n), r AS (SELECT name_id, n, st, unnest(range(1, n - st + 2)) AS ln, w FROM s),
 h AS (SELECT name_id, st, ln, key, id FROM (SELECT name_id, n, st, ln, array_to_string(w[st:st + ln - 1], ' ') AS key FROM r) JOIN i USING (key) WHERE n = 1 OR ln >= 2)
 SELECT name_id, key, id FROM (SELECT *, row_number() OVER (PARTITION BY name_id ORDER BY ln DESC, st) AS o FROM h) WHERE o = 1""")
 def longest_span(spark, sf):
     part = corpus.read(spark, sf, "part")
     w = F.split(F.lower("p_name"), " ")
-    keys = part.filter("p_partkey % 7 = 0").select("p_partkey", F.explode(F.array(F.lower("p_name"), F.array_join(F.slice(w, 1, 2), " "), F.array_join(F.slice(w, 2, 2), " "))).alias("key"))
+    keys = part.select("p_partkey", F.explode(F.array(F.lower("p_name"), F.array_join(F.slice(w, 1, 2), " "), F.array_join(F.slice(w, 2, 2), " "))).alias("key"))
     found = records.longest_span(part.select(F.col("p_partkey").alias("name_id"), w.alias("words")), keys.groupBy("key").agg(F.min("p_partkey").alias("ids")))
     return found.select("name_id", "key", F.col("ids").alias("id"))
 
@@ -390,10 +415,10 @@ def first_id_wins(spark, sf):
 
 @query("""SELECT coalesce(v.id, e.id) AS id, coalesce(v.work, e.work) AS work, grade, entry FROM
 (SELECT DISTINCT l_suppkey AS id, year(l_shipdate)::VARCHAR AS work, 'g' || (l_suppkey % 3) AS grade FROM lineitem WHERE l_returnflag = 'R') v
-FULL JOIN (SELECT s_suppkey AS id, '1994' AS work, s_name AS entry FROM supplier WHERE s_suppkey % 2 = 0) e ON v.id = e.id AND v.work = e.work""")
+FULL JOIN (SELECT s_suppkey AS id, '1994' AS work, s_name AS entry FROM supplier) e ON v.id = e.id AND v.work = e.work""")
 def verdicts_with_entries(spark, sf):
     v = corpus.read(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("id"), F.year("l_shipdate").cast("string").alias("work"), F.concat(F.lit("g"), (F.col("l_suppkey") % 3).cast("string")).alias("grade")).distinct()
-    e = corpus.read(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), F.lit("1994").alias("work"), F.col("s_name").alias("entry"))
+    e = corpus.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("1994").alias("work"), F.col("s_name").alias("entry"))
     return records.with_entries(v, e)
 
 
@@ -548,15 +573,15 @@ def books_of_transmitter(spark, sf):
     return as_map.select("id", F.array_join(F.transform(ordered, lambda e: F.concat(e["slug"], F.lit(":"), (-e["k"]).cast("string"))), ",").alias("books"))
 
 
-@query("""WITH p AS (SELECT DISTINCT a.l_suppkey AS s, b.l_suppkey AS t FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_partkey % 50 = 0)
-SELECT 'r' || s AS id, string_agg('r' || t, ',' ORDER BY 'r' || t) AS teachers FROM p WHERE t % 2 = 0 GROUP BY s""")
+@query("""WITH x AS (SELECT l_suppkey AS s, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS t FROM lineitem), p AS (SELECT DISTINCT s, t FROM x WHERE s <> t)
+SELECT 'r' || s AS id, string_agg('r' || t, ',' ORDER BY 'r' || t) AS teachers FROM p WHERE t IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY s""")
 def present_teachers(spark, sf):
-    """Teachers, only those who are in the corpus; none is no row."""
-    lines = corpus.read(spark, sf, "lineitem").filter("l_partkey % 50 = 0").select("l_partkey", "l_suppkey").distinct()
-    claims = lines.select("l_partkey", F.col("l_suppkey").alias("s")).join(lines.select("l_partkey", F.col("l_suppkey").alias("t")), "l_partkey").filter("s <> t").select("s", "t").distinct()
-    present = corpus.read(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("t"))
+    """Those who stand next on an order as teachers, only the present ones; none is no row."""
+    behind = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    claims = corpus.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.lead("l_suppkey").over(behind).alias("t")).filter("s <> t").distinct()
+    present = corpus.read(spark, sf, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("t"))
     r = lambda c: F.concat(F.lit("r"), F.col(c).cast("string"))
-    return claims.join(present, "t", "left_semi").groupBy(r("s").alias("id")).agg(F.array_join(F.array_sort(F.collect_set(r("t"))), ",").alias("teachers"))
+    return records.present_only(claims.select(r("s").alias("id"), r("t").alias("other")), present.select(r("t").alias("id"))).select("id", F.array_join("others", ",").alias("teachers"))
 
 
 @query("SELECT n_nationkey AS id, length(CAST('{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS VARCHAR))::INT AS bytes FROM nation")
