@@ -8,6 +8,7 @@ the label of the nearest decided blocks.
 
 from __future__ import annotations
 
+import collections
 import html
 import re
 from collections.abc import Iterator
@@ -31,10 +32,12 @@ LONG_LINKS, LOW_LINKS = 0.5, 0.2
 SHORT, LONG = 70, 200
 LOW_STOPS, HIGH_STOPS = 0.12, 0.25
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|title|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</\2\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_RAW = frozenset("script style noscript template svg math iframe object canvas textarea title xmp".split())
+_OPENS = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+#: The rest of a tag: quoted values may hold anything. Nothing is tried twice, so a failure costs one look at the rest.
+_REST = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
+#: After so many tags of a page whose quotes never close, quotes are taken for ordinary characters in the rest of it.
+STRAY_QUOTES = 8
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _CONTAINERS = frozenset("body head nav header footer aside form div section article main ul ol dl table figure details dialog menu fieldset select button blockquote center".split())
 _BAD_TAGS = frozenset("head nav footer aside form dialog menu select button fieldset".split())
@@ -73,10 +76,48 @@ def _kind(tag: str, attributes: str, in_article: bool) -> str:
     return ""
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str, str]]:
+    """(start, end, literal text, closing, tag, attributes) of all markup in order; comments and the like have no tag.
+
+    Elements whose content is no text, such as scripts, are one piece of markup up to their end. Time follows the
+    page's length, however malformed it is.
+    """
+    at, stray, last = 0, 0, page.rfind(">")
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, "", ""
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            yield at, len(page) if end < 0 else end + 3, page[at + 9 : end if end >= 0 else None], False, "", ""
+            end = len(page) if end < 0 else end + 3
+        elif at > last:
+            return
+        elif page[at + 1] in "!?":
+            end = page.find(">", at) + 1
+            yield at, end, "", False, "", ""
+        elif m := _OPENS.match(page, at):
+            rest = _REST.match(page, m.end()) if stray < STRAY_QUOTES else None
+            stray += rest is None
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+            tag, attributes = m[2].lower(), page[m.end() : end - 1]
+            if tag in _RAW and not m[1]:
+                if not attributes.endswith("/"):
+                    close = re.compile(rf"</{tag}\s*+>", re.I).search(page, end)
+                    end = close.end() if close else len(page)
+                tag = ""
+            yield at, end, "", bool(m[1]), tag if tag not in _RAW else "", attributes
+        else:
+            end = at + 1
+        at = end
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with what structure alone decides."""
     out: list[Block] = []
     stack: list[tuple[str, str, int, bool]] = []  # tag, kind, region, whether in the article
+    places: dict[str, list[int]] = collections.defaultdict(list)  # of each open tag on the stack
     pieces: list[str] = []
     linked, in_link, heading, breaks, regions = 0, 0, False, 0, 0
     at = 0
@@ -99,15 +140,13 @@ def blocks(page: str) -> list[Block]:
             if not raw.isspace():
                 breaks = 0
 
-    for m in _TOKEN.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            say(html.escape(m[1], False))
-        tag = (m[4] or "").lower()
+    for start, end, literal, closing, tag, attributes in tags(page):
+        say(page[at:start])
+        at = end
+        if literal:
+            say(html.escape(literal, False))
         if not tag:
             continue
-        closing = bool(m[3])
         if tag in _INLINE:
             if tag == "a":
                 in_link = 0 if closing else 1
@@ -126,15 +165,15 @@ def blocks(page: str) -> list[Block]:
         if tag in _CONTAINERS:
             in_link = 0
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("article", "main") and tag not in ("body", "main", "article"):
-                        break
+                own = places[tag]
+                wall = max((places[t][-1] for t in ("article", "main") if places[t]), default=-1)
+                if own and (own[-1] > wall or tag in ("body", "main", "article")):
+                    for gone in stack[own[-1] :][::-1]:
+                        places[gone[0]].pop()
+                        stack.pop()
             else:
                 _, outer, region, article = stack[-1] if stack else ("", "", 0, False)
-                kind = _kind(tag, m[5], article)
+                kind = _kind(tag, attributes, article)
                 if tag == "body":
                     outer = ""
                 if tag in ("article", "main"):
@@ -142,6 +181,7 @@ def blocks(page: str) -> list[Block]:
                     region, article = regions, kind == "" and outer != "comment"
                     # An article is none of an unclosed menu's business.
                     outer = outer if outer == "comment" else ""
+                places[tag].append(len(stack))
                 stack.append((tag, outer if outer == "comment" else kind or outer, region, article))
     say(page[at:] if "<" not in page[at:] else re.sub(r"<[a-zA-Z/!?][^<]*\Z", "", page[at:]))
     flush()
@@ -154,7 +194,7 @@ def decide(b: Block) -> bool | None:
         return b.decided
     n = len(b.text)
     links = min(b.linked / n, 1.0)
-    if links > LONG_LINKS or "©" in b.text[:20]:
+    if links > LONG_LINKS or n < LONG and "©" in b.text[:20]:
         return False
     if n < SHORT or b.heading:
         return False if links > LOW_LINKS else None
