@@ -76,12 +76,12 @@ class SlotMap:
         return out
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """vslot, shard, first (rows of the shard in smaller slots), bytes, rows, version."""
+        """vslot, shard, first (rows of the shard in smaller slots), bytes, rows, version, shards (how many there are)."""
         first, out = [0] * self.shards, []
         for s, k in enumerate(self.shard_of):
-            out.append((s, k, first[k], self.bytes_of[s], self.rows_of[s], self.version))
+            out.append((s, k, first[k], self.bytes_of[s], self.rows_of[s], self.version, self.shards))
             first[k] += self.rows_of[s]
-        return spark.createDataFrame(out, "vslot int, shard int, first long, bytes long, rows long, version int").coalesce(1)
+        return spark.createDataFrame(out, "vslot int, shard int, first long, bytes long, rows long, version int, shards int").coalesce(1)
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.frame(spark).write.parquet(f"{path}/version={self.version}")
@@ -89,7 +89,7 @@ class SlotMap:
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int) -> SlotMap:
         rows = sorted(spark.read.parquet(f"{path}/version={version}").collect())
-        return cls(max((r.shard for r in rows), default=0) + 1, [r.shard for r in rows], [r.bytes for r in rows], [r.rows for r in rows], version)
+        return cls(rows[0].shards, [r.shard for r in rows], [r.bytes for r in rows], [r.rows for r in rows], version)
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
