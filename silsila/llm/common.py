@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +59,33 @@ def give_back() -> None:
         trim(0)
 
 
+#: Bytes of input for a bucket of a stored table, and the most buckets that Spark allows.
+BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 100_000
+
+
+def bucket_count(df: DataFrame) -> int:
+    """How many buckets a copy of df needs: as many as shuffles have partitions, more if Spark's estimate of its size asks for them."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(max(least, size // BUCKET_BYTES), MOST_BUCKETS) if size < 1 << 60 else least  # beyond that it is unknown
+
+
+def stored_table(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """df in the shared folder, in buckets by a key, so that later joins and groups by it leave the rows where they are."""
+    spark, name = df.sparkSession, f"silsila_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{name}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    forget_at_exit(spark, path)
+    atexit.register(_drop, spark, name)
+    return spark.table(name)
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    """Take a table's name out of the catalogue, if the session still runs; its files go with the driver."""
+    with contextlib.suppress(Exception):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def utf8(col: str) -> Column:
     """The column's UTF-8 bytes; null stays null."""
     return F.col(col).cast("binary")

@@ -1,223 +1,238 @@
-"""Interpolated modified Kneser-Ney models over folded bytes, counted by Spark and kept as sorted hash arrays.
+"""Interpolated modified Kneser-Ney models over characters, counted and estimated by Spark, kept as sorted hash arrays.
 
-Bytes are folded to 32 classes (white space, 26 letters, digits, punctuation, lead bytes; continuation bytes share
-the letters' classes after a lead byte), so a 4-gram is a 20-bit code and a language has at most 2**20 of them,
-whatever the corpus: that is the proven bound of the counts that reach the driver and of the broadcast model.
-Counting covers every text of the corpus; each task counts its own rows before the shuffle.
+A character's n-gram is the character (a Unicode code point, nothing is folded) and the two before it in its text, 0
+before the first. A trigram is one 63-bit number, so nothing collides; its last 42 and 21 bits are the lower orders.
+
+Texts are cut to blocks of bounded bytes, and a table of blocks is stored in buckets by block: rows of texts, and rows
+that hold what a block's n-grams are and how often they occur. The counts of all blocks make the models by joins and
+sums of tables that grow with the corpus' n-grams. Each block then gets the scores of its own n-grams only, arrays
+sorted by n-gram, so no task and no broadcast ever holds a model. Texts are written once and never shuffled.
+
+Scores are whole millionths of natural logarithms: their sums do not depend on how rows are dealt.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, map_arrow
+from .common import bucket_count, chunks, map_arrow, materialise, stored_table
+
+BITS = 21
+ONE, TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
+#: Bytes of text in a block (a longer text is a block of its own), and n-grams in one of its rows of counts.
+BLOCK, GRAMS_A_ROW = 8 << 20, 1 << 16
+#: Alphabets of a block up to this size are counted in a dense array of its cube.
+DENSE = 161
+MICRO = 1e6
+
+
+# ---- n-grams of a block -------------------------------------------------------------------------------------------
+class Trigrams:
+    """The trigrams of the texts of a block, numbered densely by its alphabet."""
+
+    def __init__(self, raws: list[bytes | None]):
+        texts = [(r or b"").decode("utf-8", "replace") for r in raws]
+        self.offsets = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(t) for t in texts], out=self.offsets[1:])
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        present = np.zeros(0x110000, bool)
+        present[chars] = True
+        present[0] = True
+        self.alphabet = np.flatnonzero(present)
+        self.size = len(self.alphabet)
+        whole = np.int32 if self.size**3 < 1 << 31 else np.int64
+        rank = np.zeros(0x110000, whole)
+        rank[self.alphabet] = np.arange(self.size)
+        self.at = rank[chars]
+        starts = self.offsets[:-1][np.diff(self.offsets) > 0]
+        seconds = self.offsets[:-1][np.diff(self.offsets) > 1] + 1
+        one, two = np.zeros_like(self.at), np.zeros_like(self.at)
+        one[1:], two[2:] = self.at[:-1], self.at[:-2]
+        one[starts], two[starts], two[seconds] = 0, 0, 0
+        two *= self.size
+        two += one
+        two *= self.size
+        self.at += two
+
+    def rows(self, which: np.ndarray) -> np.ndarray:
+        """The trigrams of the marked rows."""
+        return self.at[np.repeat(which, np.diff(self.offsets))]
+
+    def distinct(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct trigrams by their dense numbers, and how often each occurs."""
+        if self.size <= DENSE:
+            n = np.bincount(at, minlength=self.size**3)
+            found = np.flatnonzero(n)
+            return found, n[found]
+        return np.unique(at, return_counts=True)
+
+    def codes(self, found: np.ndarray) -> np.ndarray:
+        """Dense numbers to 63-bit ones; the order stays."""
+        letters, found = self.alphabet.astype(np.int64), found.astype(np.int64)
+        return (letters[found // self.size**2] << 2 * BITS) | (letters[found // self.size % self.size] << BITS) | letters[found % self.size]
+
+    def looked_up(self, at: np.ndarray, codes: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """The score of each trigram, found in sorted arrays that hold all of them."""
+        found, _ = self.distinct(at)
+        own = scores[np.searchsorted(codes, self.codes(found))]
+        if self.size <= DENSE:
+            table = np.zeros(self.size**3, scores.dtype)
+            table[found] = own
+            return table[at]
+        return own[np.searchsorted(found, at)]
+
+
+def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Exact sums of whole numbers by row."""
+    total = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, dtype=np.int64, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
 
-CLASSES, ORDER = 32, 4
-CODES = CLASSES**ORDER
-#: Languages whose counts or dense rows of scores a worker holds at once; there may be any number of them.
-HELD = 64
 
+# ---- blocks -------------------------------------------------------------------------------------------------------
+def block_table(rows: DataFrame, describe: Callable[[pa.RecordBatch], dict[str, pa.Array]], made: str, every: bool) -> DataFrame:
+    """rows (with model string, raw binary) in blocks: block, place, the columns of rows, those that describe makes, counts.
 
-def fold_table() -> np.ndarray:
-    """Class of each byte: 0 white space and controls, 1-26 letters, 27 digits, 28 punctuation, 29-31 lead bytes."""
-    t = np.zeros(256, np.uint32)
-    for b in range(256):
-        c = chr(b)
-        if b >= 0xC0:
-            t[b] = 29 + b % 3
-        elif b >= 0x80:
-            t[b] = 1 + (b & 31) % 26
-        elif c.isalpha():
-            t[b] = ord(c.lower()) - 96
-        elif c.isdigit():
-            t[b] = 27
-        elif 32 < b < 127:
-            t[b] = 28
-    return t
+    Rows with place >= 0 are those of rows. The others hold arrays codes and ns: for each model (not null) the trigrams
+    of its texts in the block and how often they occur; with `every`, also all of the block's, under a null model.
+    """
+    names, added = rows.columns, [x.split()[0] for x in made.split(", ")] if made else []
+    columns = ["block", "place", *names, *added, "codes", "ns"]
+    schema = ", ".join(x for x in ("block long, place int", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), made, "codes array<long>, ns array<long>") if x)
+    model, raw, longs = names.index("model"), names.index("raw"), pa.list_(pa.int64())
+
+    def block(number: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: list[str | None] = []
+        for b in held:
+            own = describe(b)
+            place = pa.array(np.arange(len(of), len(of) + b.num_rows, dtype=np.int32))
+            cols = [pa.array(np.full(b.num_rows, number)), place, *b.columns, *(own[c] for c in added), *(pa.nulls(b.num_rows, longs) for _ in range(2))]
+            yield pa.RecordBatch.from_arrays(cols, columns)
+            of += b.column(model).to_pylist()
+        grams = Trigrams([x for b in held for x in b.column(raw).to_pylist()])
+        kinds: list[tuple[str | None, np.ndarray]] = [(m, grams.rows(np.array([x == m for x in of], bool))) for m in sorted({x for x in of if x is not None})]
+        for m, at in [*kinds, (None, grams.at)] if every else kinds:
+            found, n = grams.distinct(at)
+            codes = grams.codes(found)
+            for a in range(0, len(codes), GRAMS_A_ROW):
+                rest = [pa.array([m], c.type) if k == model else pa.nulls(1, c.type) for k, c in enumerate(cols[2:-2])]
+                counts = [pa.array([x[a : a + GRAMS_A_ROW]], longs) for x in (codes, n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), *rest, *counts], columns)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-FOLD = fold_table()
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for whole in batches:
+            for batch in chunks(whole, "raw", BLOCK // 4):
+                held.append(batch)
+                size += batch.column(raw).nbytes
+                if size >= BLOCK:
+                    yield from block(number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield from block(number, held)
 
+    return stored_table(rows.transform(map_arrow, run, schema), "block", bucket_count(rows))
 
-def codes_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The 4-gram code that ends at each byte; a row begins after white space, so nothing crosses rows."""
-    c = FOLD[data]
-    out = c.copy()
-    lag = np.arange(len(c)) - np.repeat(offsets[:-1], np.diff(offsets)) if len(c) else np.zeros(0, np.int64)
-    for k in range(1, ORDER):
-        shifted = np.zeros_like(c)
-        shifted[k:] = c[:-k]
-        shifted[lag < k] = 0
-        out |= shifted << np.uint32(5 * k)
-    return out
 
+def counted(blocks: DataFrame) -> DataFrame:
+    """model, code, n over all blocks."""
+    rows = blocks.filter("place < 0 and model is not null").select("model", F.explode(F.arrays_zip("codes", "ns")).alias("x"))
+    return materialise(rows.groupBy("model", F.col("x.codes").alias("code")).agg(F.sum("x.ns").alias("n")), "ngram-counts")
 
-def count_ngrams(docs: DataFrame, languages: list[str]) -> DataFrame:
-    """lang_id, code, n over all rows of docs (columns lang, raw). lang_id: place in languages, else len(languages)."""
-    place = {x: i for i, x in enumerate(languages)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+def named(blocks: DataFrame) -> DataFrame:
+    """block, model, code of all rows of counts."""
+    return blocks.filter("place < 0").select("block", "model", F.explode("codes").alias("code"))
 
-        def counted(k: int) -> pa.RecordBatch:
-            counts = total.pop(k)
-            at = np.flatnonzero(counts)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["lang_id", "code", "n"])
 
-        for whole in batches:
-            for batch in chunks(whole, "raw"):
-                data, offsets = flat(batch, "raw")
-                ids = np.array([place.get(x, len(place)) for x in batch.column(0).to_pylist()], np.int64)
-                codes, of = codes_of(data, offsets), np.repeat(ids, np.diff(offsets))
-                for k in np.unique(of):
-                    got = np.bincount(codes[of == k], minlength=CODES)
-                    if int(k) not in total and len(total) >= HELD:
-                        yield counted(next(iter(total)))
-                    total[int(k)] = total[int(k)] + got if int(k) in total else got
-        for k in list(total):
-            yield counted(k)
-
-    return docs.select("lang", "raw").transform(map_arrow, run, "lang_id int, code int, n long").groupBy("lang_id", "code").agg(F.sum("n").alias("n"))
-
-
-def hash_keys(codes: np.ndarray, order: int) -> np.ndarray:
-    """The hash under which an n-gram is stored: an odd multiplier keeps 20-bit codes distinct within an order."""
-    return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(order)
-
-
-@dataclass
-class KneserNey:
-    """For each order: sorted hashes, the interpolated probability of each n-gram and the back-off mass of each context."""
-
-    prob: list[tuple[np.ndarray, np.ndarray]]
-    back: list[tuple[np.ndarray, np.ndarray]]
-
-    @classmethod
-    def fit(cls, codes: np.ndarray, counts: np.ndarray, least: int = 1) -> KneserNey:
-        """From the counts of the highest order; lower orders count distinct left neighbours.
-
-        N-grams that occur less than `least` times are not learned (unless none is left), so that a text does not vouch
-        for what only it contains.
-        """
-        often = counts >= least if (counts >= least).any() else counts > 0
-        codes, counts = codes[often].astype(np.int64), counts[often].astype(np.float64)
-        levels = [(codes, counts)]
-        for order in range(ORDER - 1, 0, -1):
-            short, left = np.unique(levels[0][0] % CLASSES**order, return_counts=True)
-            levels.insert(0, (short, left.astype(np.float64)))
-        prob, back = [], []
-        lower = np.full(1, 1.0 / CLASSES)  # of the order below, by code
-        for order, (own, c) in enumerate(levels, 1):
-            n1, n2, n3, n4 = (max(float((c == k).sum()), 1.0) for k in (1, 2, 3, 4))
-            y = n1 / (n1 + 2 * n2)
-            cut = np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.0, [0.0, 0.95, 1.9, 2.85])
-            cut[1:] = np.maximum(cut[1:], 0.1)
-            less = cut[np.minimum(c, 3).astype(np.int64)]
-            context = own // CLASSES
-            total, taken = np.zeros(CLASSES ** (order - 1)), np.zeros(CLASSES ** (order - 1))
-            np.add.at(total, context, c)
-            np.add.at(taken, context, less)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                gamma = np.where(total > 0, taken / total, 1.0)
-            below = own % CLASSES ** (order - 1)
-            dense = np.repeat(gamma, CLASSES) * np.tile(lower, CLASSES) if order > 1 else np.full(CLASSES, gamma[0] / CLASSES)
-            p = np.maximum(c - less, 0) / total[context] + gamma[context] * (lower[below] if order > 1 else 1.0 / CLASSES)
-            dense[own] = p
-            lower = dense
-            prob.append(_sorted(own, order, p))
-            seen = np.flatnonzero(total)
-            back.append(_sorted(seen, order, gamma[seen]))
-        return cls(prob, back)
-
-    def log_probability(self, codes: np.ndarray) -> np.ndarray:
-        """Natural logarithms for distinct codes, by look-ups in the sorted arrays from the longest order down."""
-        left, out, weight = np.arange(len(codes)), np.zeros(len(codes)), np.ones(len(codes))
-        for order in range(ORDER, 0, -1):
-            own = codes[left] % CLASSES**order
-            found, p = _look(self.prob[order - 1], own, order)
-            out[left[found]] = weight[left[found]] * p[found]
-            left, own = left[~found], own[~found]
-            has, g = _look(self.back[order - 1], own // CLASSES, order)
-            weight[left] *= np.where(has, g, 1.0)
-        out[left] = weight[left] / CLASSES
-        return np.log(np.maximum(out, 1e-12))
-
-
-def _sorted(codes: np.ndarray, order: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = hash_keys(codes, order)
-    at = np.argsort(keys)
-    return keys[at], values[at].astype(np.float32)
-
-
-def _look(pair: tuple[np.ndarray, np.ndarray], codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    keys, values = pair
-    want = hash_keys(codes, order)
-    if not len(keys):
-        return np.zeros(len(codes), bool), np.zeros(len(codes))
-    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-    return keys[at] == want, values[at].astype(np.float64)
+# ---- estimation ---------------------------------------------------------------------------------------------------
+def _last(code: Column, bits: int) -> Column:
+    return code.bitwiseAND(F.lit(bits))
 
 
-def languages_of(docs: DataFrame) -> list[str]:
-    """All non-null values of lang by code point."""
-    return [r.lang for r in docs.filter(F.col("lang").isNotNull()).select("lang").distinct().orderBy("lang").collect()]
+def _before(code: Column) -> Column:
+    return F.shiftright(code, BITS)
 
 
-def fit_models(docs: DataFrame, languages: list[str], least: int = 1) -> dict[int, KneserNey]:
-    """A model per lang_id that occurs in docs (columns lang, raw)."""
-    counted = count_ngrams(docs, languages).toArrow().to_pandas()
-    return {int(k): KneserNey.fit(g["code"].to_numpy(), g["n"].to_numpy(), least) for k, g in counted.groupby("lang_id")}
+def discounts(counts: DataFrame) -> DataFrame:
+    """model, d1, d2, d3 of modified Kneser-Ney, from how many n-grams occur once to four times: all counts, unpruned."""
+    times = [F.greatest(F.count(F.when(F.col("n") == k, 1)), F.lit(1)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
+    n1, n2, n3, n4 = (F.col(f"n{k}") for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    held = lambda x, most: F.greatest(F.lit(0.1), F.least(x, F.lit(most)))
+    return counts.groupBy("model").agg(*times).select("model", held(1 - 2 * y * n2 / n1, 0.95).alias("d1"), held(2 - 3 * y * n3 / n2, 1.9).alias("d2"), held(3 - 4 * y * n4 / n3, 2.85).alias("d3"))
 
 
-class Scorer:
-    """Looks each distinct code up once a worker; then a text's score is a sum over a dense row of 2**20 floats.
+def _contexts(counts: DataFrame, cut: DataFrame, least: int) -> DataFrame:
+    """model, context, total, mass: a context's count, and the share of it that its n-grams leave to the order below.
 
-    The first HELD languages that are asked for have such rows; for others a batch's distinct codes are looked up.
+    N-grams that occur less than `least` times keep nothing for themselves: all of their count goes below.
     """
-
-    def __init__(self, models: dict[int, KneserNey]):
-        self.models = models
-        self.rows: dict[int, np.ndarray] = {}
-
-    def log_probabilities(self, k: int, codes: np.ndarray) -> np.ndarray:
-        if k not in self.rows and len(self.rows) >= HELD:
-            own, at = np.unique(codes, return_inverse=True)
-            return self.models[k].log_probability(own).astype(np.float32)[at]
-        if k not in self.rows:
-            self.rows[k] = np.full(CODES, np.nan, np.float32)
-        row = self.rows[k]
-        got = row[codes]
-        if np.isnan(got).any():
-            new = np.unique(codes[np.isnan(got)])
-            row[new] = self.models[k].log_probability(new)
-            got = row[codes]
-        return got
+    kept = lambda cond: F.count(F.when((F.col("n") >= least) & cond, 1))
+    times = [kept(F.col("n") == 1).alias("k1"), kept(F.col("n") == 2).alias("k2"), kept(F.col("n") >= 3).alias("k3")]
+    lost = F.sum(F.when(F.col("n") < least, F.col("n")).otherwise(0)).alias("lost")
+    context = counts.groupBy("model", _before(F.col("code")).alias("context")).agg(F.sum("n").alias("total"), *times, lost).join(cut, "model")
+    mass = (F.col("lost") + F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")) / F.col("total")
+    return context.select("model", "context", "total", mass.alias("mass"))
 
 
-_SCORERS: dict[str, Scorer] = {}
+def scores(counts: DataFrame, wanted: DataFrame, least: int = 1) -> DataFrame:
+    """model, code, log: the score of each wanted (model, code) under its model, in millionths, whether it occurs there or not.
 
-
-def share(spark: SparkSession, models: dict[int, KneserNey]):
-    """The models as a broadcast variable under a name of their own."""
-    return spark.sparkContext.broadcast((uuid.uuid4().hex, models))
+    counts: model, code, n of trigrams. Lower orders count distinct left neighbours. Every order is interpolated with
+    the one below, the lowest with an equal share for each character of the model's alphabet and one for all others. A
+    model that has learned nothing gives every n-gram the least score.
+    """
+    lower = lambda df, bits: df.groupBy("model", _last(F.col("code"), bits).alias("code")).agg(F.count("*").alias("n"))
+    two = materialise(lower(counts, TWO), "ngram-bigrams")
+    one = lower(two, ONE)
+    want = lambda bits: wanted.select("model", _last(F.col("code"), bits).alias("code")).distinct()
+    share = F.broadcast(one.groupBy("model").agg((1.0 / (F.count("*") + 1)).alias("q")))  # a row a language, like those of discounts
+    below = None
+    for own, asked, bits, few in ((one, want(ONE), 0, 1), (two, want(TWO), ONE, 1), (counts, wanted, TWO, least)):
+        cut = F.broadcast(discounts(own))
+        p = asked.select("model", "code", _before(F.col("code")).alias("context"), _last(F.col("code"), bits).alias("end"))
+        p = p.join(own, ["model", "code"], "left").join(_contexts(own, cut, few), ["model", "context"], "left").join(cut, "model", "left")
+        p = p.join(share, "model", "left") if below is None else p.join(below, ["model", "end"])
+        less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        kept = F.coalesce(F.when(F.col("n") >= few, (F.col("n") - less) / F.col("total")), F.lit(0.0))
+        p = p.select("model", F.col("code").alias("end"), (kept + F.coalesce("mass", F.lit(1.0)) * F.coalesce("q", F.lit(0.0))).alias("q"))
+        below = p
+    return p.select("model", F.col("end").alias("code"), F.round(F.log(F.greatest("q", F.lit(1e-12))) * MICRO).cast("int").alias("log"))
+
+
+def score_blocks(blocks: DataFrame, lookups: DataFrame, score: Callable[[pa.Table, pa.Table], pa.Table], columns: list[str], schema: str) -> DataFrame:
+    """score(texts, lookups) of every block. The texts stay in their buckets; a block's lookups come to them."""
+    texts = blocks.filter("place >= 0").select("block", *columns).groupBy("block")
+    # Both come from one table: names of their own tell the columns apart.
+    apart = lookups.select(*[F.col(c).alias(f"of_{c}") for c in lookups.columns]).groupBy("of_block")
+    names = lookups.columns
+    return texts.cogroup(apart).applyInArrow(lambda rows, found: score(rows, found.rename_columns(names)), schema)
+
+
+# ---- quantiles ----------------------------------------------------------------------------------------------------
+def quantiles(df: DataFrame, key: str, value: Column, points: list[float], weight: Column | None = None, grid: float = 1e-4) -> DataFrame:
+    """key, q (array): exact quantiles, by weight, of the values rounded to the grid, from counts of distinct values."""
+    bins = df.groupBy(key, F.round(value / grid).cast("long").alias("bin")).agg(F.sum(weight if weight is not None else F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    run = bins.select(key, "bin", upto.alias("upto"), F.sum("n").over(Window.partitionBy(key)).alias("total"))
+    return run.groupBy(key).agg(F.array(*[F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("bin"))) * grid for p in points]).alias("q"))
 
 
-def scorer(shared) -> Scorer:
-    """One scorer a worker and shared set of models."""
-    name, models = shared.value
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(models)
-    return _SCORERS[name]
+def languages_of(docs: DataFrame) -> list[str]:
+    """All non-null values of lang by code point."""
+    return [r.lang for r in docs.filter(F.col("lang").isNotNull()).select("lang").distinct().orderBy("lang").collect()]
 
 
-def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+def sorted_arrays(lookups: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a block's lookups in order, and the order."""
+    codes = lookups.column("code").to_numpy()
+    order = np.argsort(codes, kind="stable")
+    return codes[order], order

@@ -1,36 +1,36 @@
 """Quality rules: counts over words and lines, and a perplexity band per language.
 
-A modified Kneser-Ney model per language is counted over all documents (ngram_lm). A document's perplexity under
-its own language's model must lie between a lower and an upper bound of that language; the bounds lie far outside the
-quartiles of log perplexity over all its documents, so they follow the corpus and reject outliers on either side:
-repeated stock text below, character noise above.
+A modified Kneser-Ney model over characters per language is counted over all documents (ngram_lm). A document's
+perplexity under its own language's model must lie between a lower and an upper bound of that language; the bounds lie
+beyond the quartiles of log perplexity over all its documents, so they follow the corpus and reject outliers on either
+side: repeated stock text below, character noise above.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, map_arrow, materialise, mix64, span_hashes, utf8, word_spans
-from .ngram_lm import codes_of, fit_models, languages_of, row_sums, scorer, share
+from .common import chunks, flat, materialise, mix64, span_hashes, utf8, word_spans
+from .ngram_lm import MICRO, Trigrams, block_table, counted, named, quantiles, score_blocks, scores, sorted_arrays, sums
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MOST_REPEATED_PERCENT = 20
-#: How many interquartile ranges of log perplexity a band reaches below and above the quartiles, and the least width of one.
-REACH_LOW, REACH_HIGH, LEAST_RANGE = 4.0, 12.0, 0.05
-#: N-grams that occur less often in a language are not learned: the scored text is itself part of the corpus.
+#: How many interquartile ranges of log perplexity a band reaches beyond the quartiles, and the least width of one.
+REACH, LEAST_RANGE = 3.0, 0.02
+#: N-grams that occur less often in a language back off when texts are scored: the scored text is itself part of the
+#: corpus. The discounts are estimated from all of them.
 LEAST_COUNT = 2
-#: Perplexity of shorter texts is uncertain: their bounds are wider by so many standard errors, as far as these exceed
-#: the ones of a text of MIN_BYTES, and they set a band only where there are few longer texts in the language.
-MIN_BYTES, ERRORS, FEW = 200, 4.0, 20
+#: The mean over few characters is uncertain: bounds are wider by so many standard errors, as far as these exceed the
+#: one of a text of so many characters.
+ERRORS, SURE = 6.0, 2000
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+COUNTS = [c.split()[0] for c in STATS.split(", ")]
 
 
 def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -42,11 +42,11 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     symbol[list(SYMBOLS)] = True
     out = {
         "n_words": np.diff(first),
-        "word_chars": row_sums(solid & ((data & 0xC0) != 0x80), offsets).astype(np.int64),
-        "n_symbols": row_sums(symbol[data], offsets).astype(np.int64),
+        "word_chars": sums(solid & ((data & 0xC0) != 0x80), offsets).astype(np.int64),
+        "n_symbols": sums(symbol[data], offsets).astype(np.int64),
     }
     dup = np.zeros(rows, np.int64)
-    has_line = row_sums(data == 10, offsets)
+    has_line = sums(data == 10, offsets)
     for k in np.flatnonzero(has_line):
         seen: set[bytes] = set()
         for line in data[offsets[k] : offsets[k + 1]].tobytes().split(b"\n"):
@@ -72,67 +72,73 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         twice[order[:-1][same]] = True
         np.add.at(covered, at[twice], 1)
         np.add.at(covered, at[twice] + WINDOW, -1)
-    out["n_repeat_words"] = row_sums(np.cumsum(covered)[:-1] > 0, first).astype(np.int64)
+    out["n_repeat_words"] = sums(np.cumsum(covered)[:-1] > 0, first).astype(np.int64)
     return out
 
 
+def _counts(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+    """The base counts of a batch with texts in raw."""
+    parts = [text_stats(*flat(part, "raw")) for part in chunks(batch, "raw")]
+    return {c: pa.array(np.concatenate([p[c] for p in parts]), pa.int64()) for c in COUNTS}
+
+
+def _surprise(texts: pa.Table, lookups: pa.Table) -> pa.Table:
+    """The texts of a block with their characters and the sum of their n-grams' scores under their own language's model."""
+    grams = Trigrams(texts.column("raw").to_pylist())
+    n = np.diff(grams.offsets)
+    total = np.zeros(len(n), np.int64)
+    of, names = np.array(texts.column("model").to_pylist(), object), np.array(lookups.column("model").to_pylist(), object)
+    for model in dict.fromkeys(names):
+        codes, order = sorted_arrays(lookups.filter(pa.array(names == model)))
+        logs = lookups.filter(pa.array(names == model)).column("log").to_numpy()[order].astype(np.int64)
+        mine = np.flatnonzero(of == model)
+        found = grams.looked_up(grams.rows(of == model), codes, logs)
+        total[mine] = sums(found, np.concatenate([[0], np.cumsum(n[mine])]))
+    out = texts.drop_columns(["block", "raw"])
+    return out.append_column("n_chars", pa.array(n)).append_column("total", pa.array(total))
+
+
 def assess(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """row (struct of the carried columns), lang, the base counts, base_failed, perplexity, band_low, band_high, kept.
 
     A null or empty text has no words and fails the base rules; a null lang is a language of its own; repeated rows are
-    judged each; an empty table gives no rows.
-    The bounds of texts of fewer than MIN_BYTES bytes widen with the standard error of the mean log probability at
-    their length. Every text is read whole; one longer than the working chunk stands alone in it.
+    judged each; an empty table gives no rows. perplexity is per character. The quartiles are of characters: a text
+    counts as often as it has some. Texts are read whole, twice; results do not depend on how rows are dealt.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "lang", utf8("text").alias("raw"))
-    languages = languages_of(docs)
-    models = share(spark, fit_models(base.select("lang", "raw"), languages, LEAST_COUNT))
-    place = {x: i for i, x in enumerate(languages)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scorer(models)
-        for whole in batches:
-            for batch in chunks(whole, "raw"):
-                data, offsets = flat(batch, "raw")
-                stats = text_stats(data, offsets)
-                ids = np.array([place.get(x, len(place)) for x in batch.column(1).to_pylist()], np.int64)
-                codes, of = codes_of(data, offsets), np.repeat(ids, np.diff(offsets))
-                logs = np.zeros(len(data), np.float32)
-                for k in np.unique(of):
-                    at = of == k
-                    logs[at] = own.log_probabilities(int(k), codes[at])
-                n = np.diff(offsets)
-                entropy = -row_sums(logs, offsets) / np.maximum(n, 1)
-                cols = [batch.column(0), batch.column(1), *(pa.array(stats[c.split()[0]], pa.int64()) for c in STATS.split(", ")), pa.array(n, pa.int64()), pa.array(ids.astype(np.int32)), pa.array(entropy)]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "lang", *(c.split()[0] for c in STATS.split(", ")), "n_bytes", "lang_id", "entropy"])
-
-    kind = base.schema["row"].dataType.simpleString()
-    scored = base.transform(map_arrow, run, f"row {kind}, lang string, {STATS}, n_bytes long, lang_id int, entropy double")
-    if set(carry) <= {"doc_id"}:
-        scored = materialise(scored, "quality-scored")
-        narrow = scored
-    else:
-        narrow = materialise(scored.select("lang_id", "n_bytes", "entropy"), "quality-entropy")
-    quartiles = lambda x: F.percentile_approx(x, [0.25, 0.5, 0.75], 1000)
-    long, some = F.col("n_bytes") >= MIN_BYTES, F.col("n_bytes") > 0
-    bands = narrow.groupBy("lang_id").agg(F.count(F.when(long, 1)).alias("n_long"), quartiles(F.when(long, F.col("entropy"))).alias("q_long"), quartiles(F.when(some, F.col("entropy"))).alias("q_all"))
-    bands = materialise(bands.select(F.col("lang_id").alias("band_of"), F.when(F.col("n_long") >= FEW, F.col("q_long")).otherwise(F.col("q_all")).alias("q")), "quality-bands")
-    # The deviation of one byte's log probability, from the median distance of short texts: entropy is a mean over n_bytes.
-    short = narrow.filter(some & ~long).join(bands, F.col("lang_id") == F.col("band_of"))
-    spread = short.groupBy("lang_id").agg((F.percentile_approx(F.abs(F.col("entropy") - F.col("q")[1]) * F.sqrt("n_bytes"), 0.5, 1000) / 0.6745).alias("one"))
-    spread = materialise(spread.withColumnRenamed("lang_id", "spread_of"), "quality-spread")
-    limits = materialise(bands.join(spread, F.col("band_of") == F.col("spread_of"), "left").select("band_of", "q", F.coalesce("one", F.lit(0.0)).alias("one")), "quality-limits")
-    scored = scored.join(limits, F.col("lang_id") == F.col("band_of"), "left")
+    kept = [F.col(f"`{c}`") for c in carry]
+    rows = docs.select(F.struct(*kept).alias("row"), F.when(F.col("lang").isNull(), "").otherwise(F.concat(F.lit("="), "lang")).alias("model"), utf8("text").alias("raw"))
+    blocks = block_table(rows, _counts, STATS, every=False)
+    counts = counted(blocks)
+    logs = materialise(scores(counts, counts.select("model", "code"), LEAST_COUNT), "quality-scores")
+    lookups = named(blocks).join(logs, ["model", "code"]).select("block", "model", "code", "log")
+    kind = rows.schema["row"].dataType.simpleString()
+    scored = score_blocks(blocks, lookups, _surprise, ["row", "model", *COUNTS, "raw"], f"row {kind}, model string, {STATS}, n_chars long, total long")
+    scored = materialise(scored, "quality-scored")
+    return _judged(scored)
+
+
+def _judged(scored: DataFrame) -> DataFrame:
+    length = F.greatest("n_chars", F.lit(1))
+    entropy, some = -F.col("total") / (MICRO * length), scored.filter("n_chars > 0")
+    bands = materialise(quantiles(some, "model", entropy, [0.25, 0.5, 0.75], F.col("n_chars")), "quality-bands")
+    # The deviation of one character's score, from the median distance: entropy is a mean over n_chars.
+    spread = quantiles(some.join(F.broadcast(bands), "model"), "model", F.abs(entropy - F.col("q")[1]) * F.sqrt("n_chars"), [0.5])
+    limits = materialise(bands.join(spread.select("model", (F.col("q")[0] / 0.6745).alias("one")), "model"), "quality-limits")
+    scored = scored.join(F.broadcast(limits), "model", "left")  # a row a language
     width = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(LEAST_RANGE))
-    more = F.when(some & ~long, ERRORS * F.col("one") * (1 / F.sqrt("n_bytes") - 1 / MIN_BYTES**0.5)).otherwise(F.lit(0.0))
-    low, high = F.col("q")[0] - REACH_LOW * width - more, F.col("q")[2] + REACH_HIGH * width + more
+    more = ERRORS * F.col("one") * F.greatest(1 / F.sqrt(length) - 1 / SURE**0.5, F.lit(0.0))
+    low, high = F.col("q")[0] - REACH * width - more, F.col("q")[2] + REACH * width + more
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    within = F.coalesce((F.col("entropy") >= low) & (F.col("entropy") <= high), F.lit(True))
-    return scored.select("row", "lang", *[c.split()[0] for c in STATS.split(", ")], failed.alias("base_failed"), (~failed & within).alias("kept"), F.exp("entropy").alias("perplexity"), F.exp(low).alias("band_low"), F.exp(high).alias("band_high"))
+    within = F.coalesce((entropy >= low) & (entropy <= high), F.lit(True))
+    lang = F.when(F.col("model") != "", F.substring("model", 2, 1 << 30)).alias("lang")
+    or_none = lambda x, name: F.when(F.col("n_chars") > 0, F.exp(x)).alias(name)
+    return scored.select("row", lang, *COUNTS, failed.alias("base_failed"), (~failed & within).alias("kept"), or_none(entropy, "perplexity"), or_none(low, "band_low"), or_none(high, "band_high"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all their columns, that pass the base rules and their language's band."""
+    """The rows of docs, all their columns, that pass the base rules and their language's band.
+
+    Null, empty and wordless texts go with the base rules; repeated rows stay or go together; no rows give none.
+    """
     out = assess(docs, carry=tuple(docs.columns)).filter("kept")
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

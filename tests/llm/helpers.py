@@ -90,3 +90,34 @@ def docs(spark, sf_dir):
 
 def rows_of(df, *cols):
     return [tuple(r) for r in df.select(*[F.col(c) for c in cols]).collect()]
+
+
+def trigrams(text):
+    padded = "\0\0" + text
+    return [padded[i : i + 3] for i in range(len(text))]
+
+
+class KneserNey:
+    """Interpolated modified Kneser-Ney over characters, by dictionaries."""
+
+    def __init__(self, texts, least=1):
+        grams = collections.Counter(g for t in texts for g in trigrams(t))
+        two = collections.Counter(g[1:] for g in grams)
+        self.levels = [(collections.Counter(g[1:] for g in two), 1), (two, 1), (grams, least)]
+        self.cuts = []
+        for level, _ in self.levels:
+            n1, n2, n3, n4 = (max(sum(v == k for v in level.values()), 1) for k in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2)
+            self.cuts.append([max(0.1, min(m, x)) for x, m in ((1 - 2 * y * n2 / n1, 0.95), (2 - 3 * y * n3 / n2, 1.9), (3 - 4 * y * n4 / n3, 2.85))])
+
+    def p(self, gram):
+        p = 1 / (len(self.levels[0][0]) + 1) if self.levels[0][0] else 0.0
+        for order, ((level, least), cut) in enumerate(zip(self.levels, self.cuts, strict=True), 1):
+            own = gram[3 - order :]
+            mates = {g: n for g, n in level.items() if g[:-1] == own[:-1]}
+            if mates:
+                total = sum(mates.values())
+                p *= sum(cut[min(n, 3) - 1] if n >= least else n for n in mates.values()) / total
+                if level[own] >= least:
+                    p += (level[own] - cut[min(level[own], 3) - 1]) / total
+        return p
