@@ -1,7 +1,11 @@
 """From raw documents to token counts: five stages, each one operator of silsila.llm.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents, whatever these are called.
+
+Nulls, empty texts and repeats: a text without ten words goes in the first stage; were it to come later, near_dedup and
+suffix_dedup keep it as it is, mix_sources draws it with whole passes and byte_bpe gives it no tokens. Repeated rows
+leave one copy in near_dedup. Very long texts are read whole by every stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.resample(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,3 +110,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     names = [c for c in docs.columns if c not in ("mix_pass", "mix_shard", "mix_place")]
     drawn = plan_mix(docs, carry=tuple(names), **options).select("row", F.explode("draws").alias("draw"))
     return drawn.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.col("draw.pass").alias("mix_pass"), F.col("draw.shard").alias("mix_shard"), F.col("draw.place").alias("mix_place"))
+
+
+def resample(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all their columns as they are, each as often as the mix draws it.
+
+    A null text has size 0 and comes with whole passes; repeated rows are drawn separately; no rows give none.
+    """
+    drawn = plan_mix(docs, carry=tuple(docs.columns), **options).select("row", F.explode("draws"))
+    return drawn.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
