@@ -22,7 +22,6 @@ WORD_GRAM words occurs once are unique; the others are hashed and counted one by
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, chunks, flat, map_arrow, materialise, mix64, shared_dir, span_hashes, utf8, word_spans
+from .common import _powers, bucket_count, chunks, flat, map_arrow, materialise, mix64, span_hashes, stored_table, utf8, word_spans
 
 MIN, GRAM = 400, 32
 GRAMS = MIN - GRAM + 1
@@ -326,14 +325,11 @@ def _whole(raw: bytes, a: int, b: int) -> tuple[int, int]:
 
 def _bucketed(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """rid, raw, row: numbered rows, stored once in buckets by rid so that later joins leave the texts where they are."""
-    spark = docs.sparkSession
-    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"repeats_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/tables/{name}"
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), utf8("text").alias("raw"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"))
-    numbered.repartition(n, "rid").write.bucketBy(n, "rid").option("compression", "zstd").option("path", path).saveAsTable(name)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.table(name)
+    n = bucket_count(docs)
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    own = [] if "text" in carry else [utf8("text").alias("raw")]  # a carried text is not stored twice
+    stored = stored_table(docs.select(F.monotonically_increasing_id().alias("rid"), row, *own).repartition(n, "rid"), "rid", n)
+    return stored.select("rid", F.col("raw") if own else F.col("row.text").cast("binary").alias("raw"), "row")
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
