@@ -228,7 +228,8 @@ def _around(around: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
     |h| - r_x - r_y + s of |h| + a_x + a_y - s elements. So a link needs s >= (q_x + t a_y + r_y) / (1 + t), where t is
     the threshold and q_x = t (|h| + a_x) - |h| + r_x, which is above 0 if h does not link x. A difference that only one
     class of the family has is never in common. That rules out almost all classes by counting; the others are paired
-    where they share one of their rarest differences, as many of those as the bound requires (prefix filtering).
+    at the first of their rarest differences in common, as many of those as the bound requires (prefix filtering), if
+    the differences from there on can still reach the bound (positional filtering).
     """
     t = percent / 100
     x_set = sets.select("cls", F.col("hashes").alias("sx"))
@@ -244,15 +245,21 @@ def _around(around: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
     shared = materialise(each.groupBy("family", "d").agg(F.count("*").alias("df")).filter("df > 1"), "near-shared")
     common = materialise(each.join(shared, ["family", "d"]), "near-common")
     ranked = common.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "d"))).alias("shared"))
-    facts = seen.select("family", "cls", "comp", "linked", "added", "lacks", (F.lit(t) * (F.col("h") + F.col("added")) - F.col("h") + F.col("lacks")).alias("q")).join(ranked, "cls")
+    facts = seen.select("family", "cls", "comp", "linked", "h", "added", "lacks", (F.lit(t) * (F.col("h") + F.col("added")) - F.col("h") + F.col("lacks")).alias("q")).join(ranked, "cls")
     size_d, own = F.col("added") + F.col("lacks"), F.size("shared")
     # As the other side of an unlinked x: more than half of the differences must be in common.
     need_y = (F.lit(t) * F.col("added") + F.col("lacks")) / (1 + t)
     keep = lambda need: F.greatest(F.lit(0), size_d - F.ceil(need - 1e-9) + 1 - (size_d - own)).cast("int")  # noqa: E731  of the prefix what is shared at all
-    y = facts.filter(own >= need_y - 1e-9).select("family", "cls", "comp", "q", "added", "lacks", own.alias("own"), F.explode(F.slice("shared", F.lit(1), keep(need_y))).alias("e"))
-    x = facts.filter(~F.col("linked") & (own >= F.col("q") - 1e-9)).select("family", F.col("cls").alias("x"), F.col("comp").alias("comp_x"), F.col("q").alias("qx"), own.alias("own_x"), F.explode(F.slice("shared", F.lit(1), keep(F.greatest(F.col("q"), F.lit(1.0))))).alias("e"))
+    size = (F.col("h") - F.col("lacks") + F.col("added")).alias("n")
+    # A posting of e carries its place in the class's order and what stands before it there.
+    y = facts.filter(own >= need_y - 1e-9).select("family", "cls", "comp", "q", "added", "lacks", size, "shared", F.posexplode(F.slice("shared", F.lit(1), keep(need_y))).alias("at", "e"))
+    y = y.select("family", "e", "cls", "comp", "added", "lacks", "n", (F.size("shared") - F.col("at")).alias("left"), F.slice("shared", F.lit(1), F.col("at")).alias("before"))
+    x = facts.filter(~F.col("linked") & (own >= F.col("q") - 1e-9)).select("family", "cls", "comp", "q", size, "shared", F.posexplode(F.slice("shared", F.lit(1), keep(F.greatest(F.col("q"), F.lit(1.0))))).alias("at", "e"))
+    x = x.select("family", "e", F.col("cls").alias("x"), F.col("comp").alias("comp_x"), F.col("q").alias("qx"), F.col("n").alias("n_x"), (F.size("shared") - F.col("at")).alias("left_x"), F.slice("shared", F.lit(1), F.col("at")).alias("before_x"))
     need = (F.col("qx") + F.lit(t) * F.col("added") + F.col("lacks")) / (1 + t)
-    met = x.join(y, ["family", "e"]).filter((F.col("comp_x") != F.col("comp")) & (F.least("own", "own_x") >= need - 1e-9))
+    # A pair is made once, at its first common difference, and only if what stands behind that one can suffice.
+    first = ~F.arrays_overlap("before_x", "before")
+    met = x.join(y, ["family", "e"]).filter((F.col("comp_x") != F.col("comp")) & (F.least("left", "left_x") >= need - 1e-9) & _close(F.col("n_x"), F.col("n"), percent) & first)
     pairs = materialise(met.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct(), "near-pairs")
     return links, verify(pairs, sets, percent)
 
