@@ -77,7 +77,9 @@ def stored_table(df: DataFrame, key: str, buckets: int) -> DataFrame:
     df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)
     forget_at_exit(spark, path)
     atexit.register(_drop, spark, name)
-    return spark.table(name)
+    out = spark.table(name)
+    out.stored_as = name, path
+    return out
 
 
 def _drop(spark: SparkSession, name: str) -> None:
@@ -86,6 +88,14 @@ def _drop(spark: SparkSession, name: str) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def release(stored: DataFrame) -> None:
+    """Remove a stored table of which nothing unwritten needs the rows any more."""
+    spark, (name, path) = stored.sparkSession, stored.stored_as
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def utf8(col: str) -> Column:
     """The column's UTF-8 bytes; null stays null."""
     return F.col(col).cast("binary")

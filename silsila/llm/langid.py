@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise, utf8
+from .common import held_out, materialise, release, utf8
 from .ngram_lm import MICRO, Trigrams, block_table, counted, languages_of, named, quantiles, score_blocks, scores, sorted_arrays, sums
 
 #: The share of correct training predictions that calibrated rejection may lose.
@@ -67,6 +67,7 @@ def identify(docs: DataFrame) -> DataFrame:
     lookups = every.join(logs.select("code", F.transform("x", lambda x: x["log"]).alias("logs")), "code").select("block", "code", "logs")
     scored = score_blocks(blocks, lookups, _score(languages), ["doc_id", "held_out", "lang", "letters", "raw"], "doc_id long, held_out boolean, lang string, lang_pred string, score double, entropy double, margin double")
     scored = materialise(scored, "langid-scored")
+    release(blocks)
     right = scored.filter(~F.col("held_out") & (F.col("lang") == F.col("lang_pred"))).withColumn("all", F.lit(0))
     least = quantiles(right, "all", F.col("margin"), [REJECT]).first()
     return scored.select("doc_id", "held_out", "lang_pred", "score", "entropy", "margin", (F.col("margin") < F.lit(float(least.q[0]) if least else 0.0)).alias("rejected"))

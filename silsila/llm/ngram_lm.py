@@ -95,15 +95,17 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 # ---- blocks -------------------------------------------------------------------------------------------------------
-def block_table(rows: DataFrame, describe: Callable[[pa.RecordBatch], dict[str, pa.Array]], made: str, every: bool) -> DataFrame:
+def block_table(rows: DataFrame, describe: Callable[[pa.RecordBatch], dict[str, pa.Array]], made: str, every: bool, spare: tuple[str, ...] = ()) -> DataFrame:
     """rows (with model string, raw binary) in blocks: block, place, the columns of rows, those that describe makes, counts.
 
     Rows with place >= 0 are those of rows. The others hold arrays codes and ns: for each model (not null) the trigrams
     of its texts in the block and how often they occur; with `every`, also all of the block's, under a null model.
+    The spare columns of rows are read and not stored.
     """
     names, added = rows.columns, [x.split()[0] for x in made.split(", ")] if made else []
-    columns = ["block", "place", *names, *added, "codes", "ns"]
-    schema = ", ".join(x for x in ("block long, place int", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), made, "codes array<long>, ns array<long>") if x)
+    own_names = [n for n in names if n not in spare]
+    columns = ["block", "place", *own_names, *added, "codes", "ns"]
+    schema = ", ".join(x for x in ("block long, place int", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in own_names), made, "codes array<long>, ns array<long>") if x)
     model, raw, longs = names.index("model"), names.index("raw"), pa.list_(pa.int64())
 
     def block(number: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +113,7 @@ def block_table(rows: DataFrame, describe: Callable[[pa.RecordBatch], dict[str,
         for b in held:
             own = describe(b)
             place = pa.array(np.arange(len(of), len(of) + b.num_rows, dtype=np.int32))
-            cols = [pa.array(np.full(b.num_rows, number)), place, *b.columns, *(own[c] for c in added), *(pa.nulls(b.num_rows, longs) for _ in range(2))]
+            cols = [pa.array(np.full(b.num_rows, number)), place, *(b.column(names.index(n)) for n in own_names), *(own[c] for c in added), *(pa.nulls(b.num_rows, longs) for _ in range(2))]
             yield pa.RecordBatch.from_arrays(cols, columns)
             of += b.column(model).to_pylist()
         grams = Trigrams([x for b in held for x in b.column(raw).to_pylist()])
@@ -120,7 +122,7 @@ def block_table(rows: DataFrame, describe: Callable[[pa.RecordBatch], dict[str,
             found, n = grams.distinct(at)
             codes = grams.codes(found)
             for a in range(0, len(codes), GRAMS_A_ROW):
-                rest = [pa.array([m], c.type) if k == model else pa.nulls(1, c.type) for k, c in enumerate(cols[2:-2])]
+                rest = [pa.array([m], c.type) if k == own_names.index("model") else pa.nulls(1, c.type) for k, c in enumerate(cols[2:-2])]
                 counts = [pa.array([x[a : a + GRAMS_A_ROW]], longs) for x in (codes, n.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), *rest, *counts], columns)
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, materialise, mix64, span_hashes, utf8, word_spans
+from .common import chunks, flat, materialise, mix64, release, span_hashes, utf8, word_spans
 from .ngram_lm import MICRO, Trigrams, block_table, counted, named, quantiles, score_blocks, scores, sorted_arrays, sums
 
 SYMBOLS = b"#*$%&|<>"
@@ -107,13 +107,15 @@ def assess(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """
     kept = [F.col(f"`{c}`") for c in carry]
     rows = docs.select(F.struct(*kept).alias("row"), F.when(F.col("lang").isNull(), "").otherwise(F.concat(F.lit("="), "lang")).alias("model"), utf8("text").alias("raw"))
-    blocks = block_table(rows, _counts, STATS, every=False)
+    stored = block_table(rows, _counts, STATS, every=False, spare=("raw",) if "text" in carry else ())
+    blocks = stored.withColumn("raw", F.col("row.text").cast("binary")) if "text" in carry else stored  # a carried text is not stored twice
     counts = counted(blocks)
     logs = materialise(scores(counts, counts.select("model", "code"), LEAST_COUNT), "quality-scores")
     lookups = named(blocks).join(logs, ["model", "code"]).select("block", "model", "code", "log")
     kind = rows.schema["row"].dataType.simpleString()
     scored = score_blocks(blocks, lookups, _surprise, ["row", "model", *COUNTS, "raw"], f"row {kind}, model string, {STATS}, n_chars long, total long")
     scored = materialise(scored, "quality-scored")
+    release(stored)
     return _judged(scored)
 
 
