@@ -20,7 +20,7 @@ def shard_for(text: str, shards: int) -> int:
     return abs(h - (1 << 32) if h >= 1 << 31 else h) % shards
 
 
-def shard_column(c: Column, shards: int) -> Column:
+def shard_column(c: Column, shards: int | Column) -> Column:
     """shard_for as an expression; characters beyond the first plane count as their two UTF-16 units."""
     # Every two hexadecimal bytes of UTF-16 are one unit.
     units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("([0-9A-F]{4})"), 1)

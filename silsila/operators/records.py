@@ -25,14 +25,14 @@ def first_wins(files: list[DataFrame], key: str = "id") -> DataFrame:
     return out.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r", "_file")
 
 
-def positional_join(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """id, value: pairs by place inside a group, only of groups that agree in length and in every text.
+def positional_join(ours: DataFrame, theirs: DataFrame, reading=text.letters_only) -> DataFrame:
+    """id, value: pairs by place inside a group, only of groups that agree in length and in the reading of every text.
 
     ours: grp, pos, id, text; theirs: grp, pos, text, value. Groups hold the rows of one chapter.
     """
     number = lambda df: df.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("pos")))
-    a = number(ours).select("grp", "k", "id", F.col("text").alias("ta"))
-    b = number(theirs).select("grp", "k", F.col("text").alias("tb"), "value")
+    a = number(ours).select("grp", "k", "id", reading(F.col("text")).alias("ta"))
+    b = number(theirs).select("grp", "k", reading(F.col("text")).alias("tb"), "value")
     both = a.join(b, ["grp", "k"], "full_outer")
     good = both.groupBy("grp").agg(F.bool_and(F.coalesce(F.col("ta") == F.col("tb"), F.lit(False))).alias("good")).filter("good")
     return both.join(good, "grp").select("id", "value")
@@ -114,9 +114,13 @@ def discriminate(tied: DataFrame, marks: DataFrame, words: DataFrame) -> DataFra
     return only.select("id", "entry")
 
 
-def with_entries(verdicts: DataFrame, entries: DataFrame) -> DataFrame:
-    """Verdicts (id, work, grade) with the entry of the same work, and entries without a verdict as rows of their own."""
-    return verdicts.join(entries, ["id", "work"], "full_outer")
+def with_entries(verdicts: DataFrame, entries: DataFrame, works: list[str] | None = None) -> DataFrame:
+    """Verdicts (id, work, grade) with the entry of the same work, and entries without a verdict as rows of their own.
+
+    With the list of works that were read, `read` tells which rows come from one of them, entry or not.
+    """
+    both = verdicts.join(entries, ["id", "work"], "full_outer")
+    return both if works is None else both.withColumn("read", F.col("work").isin(*works) if works else F.lit(False))
 
 
 def upsert(manifest: DataFrame, new: DataFrame) -> DataFrame:

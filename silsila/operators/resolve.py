@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .parse import NON_NAME_SPANS
 
 GRADES = ["reliable", "mostly_reliable", "weak", "abandoned", "fabricator"]
 LAST_COMPANION, LINK_EVIDENCE, CLEAR_MARGIN, SWEEPS = 120, 10, 3, 2
@@ -23,6 +24,56 @@ def read_verdicts(sources: DataFrame) -> DataFrame:
     return kept.select("id", "key", read.alias("grade_en"), F.col("ar").alias("grade_ar"), "pos")
 
 
+# ---- fixed values: the works of criticism, by the keys of the sources ------------------------------------------------
+_IBN_HAJAR, _DHAHABI = "Ibn Ḥajar al-ʿAsqalānī (d. 852 AH)", "al-Dhahabī (d. 748 AH)"
+WORKS = [
+    ("taqrib", "Taqrīb al-Tahdhīb", _IBN_HAJAR),
+    ("tahdhib_tahdhib", "Tahdhīb al-Tahdhīb", _IBN_HAJAR),
+    ("tahdhib_kamal", "Tahdhīb al-Kamāl", "al-Mizzī (d. 742 AH)"),
+    ("isaba", "al-Iṣāba fī Tamyīz al-Ṣaḥāba", _IBN_HAJAR),
+    ("lisan_mizan", "Lisān al-Mīzān", _IBN_HAJAR),
+    ("durar_kamina", "al-Durar al-Kāmina", _IBN_HAJAR),
+    ("jarh", "al-Jarḥ wa-l-Taʿdīl", "Ibn Abī Ḥātim al-Rāzī (d. 327 AH)"),
+    ("thiqat", "al-Thiqāt", "Ibn Ḥibbān al-Bustī (d. 354 AH)"),
+    ("kamil", "al-Kāmil fī Ḍuʿafāʾ al-Rijāl", "Ibn ʿAdī al-Jurjānī (d. 365 AH)"),
+    ("tabaqat", "al-Ṭabaqāt al-Kubrā", "Ibn Saʿd (d. 230 AH)"),
+    ("tarikh", "al-Tārīkh al-Kabīr", "al-Bukhārī (d. 256 AH)"),
+    ("mizan", "Mīzān al-Iʿtidāl", _DHAHABI),
+    ("kashif", "al-Kāshif", _DHAHABI),
+    ("siyar", "Siyar Aʿlām al-Nubalāʾ", _DHAHABI),
+    ("tarikh_islam", "Tārīkh al-Islām", _DHAHABI),
+    ("tadhkirat_huffaz", "Tadhkirat al-Ḥuffāẓ", _DHAHABI),
+    ("mughni_ducafa", "al-Mughnī fī al-Ḍuʿafāʾ", _DHAHABI),
+    ("diwan_ducafa", "Dīwān al-Ḍuʿafāʾ", _DHAHABI),
+    ("dhayl_diwan", "Dhayl Dīwān al-Ḍuʿafāʾ", _DHAHABI),
+    ("mucin_tabaqat", "al-Muʿīn fī Ṭabaqāt al-Muḥaddithīn", _DHAHABI),
+    ("mucjam_shuyukh", "Muʿjam al-Shuyūkh", _DHAHABI),
+    ("macrifa_qurra", "Maʿrifat al-Qurrāʾ al-Kibār", _DHAHABI),
+]
+
+
+def with_works(verdicts: DataFrame, dhahabi: DataFrame) -> DataFrame:
+    """Verdicts (id, key, grade_en, grade_ar, pos) and al-Dhahabi's own word (id, dhahabi) on those whom the Kashif leaves out; work, author."""
+    word = text.clean_value(F.col("dhahabi"))
+    own = dhahabi.select("id", word.alias("grade_ar")).filter("grade_ar is not null").join(verdicts.filter("key = 'kashif'").select("id"), "id", "left_anti")
+    last = F.lit((1 << 31) - 1)
+    every = verdicts.unionByName(own.select("id", F.lit("dhahabi").alias("key"), text.grade_from_arabic(F.col("grade_ar")).alias("grade_en"), "grade_ar", last.alias("pos")))
+    works = verdicts.sparkSession.createDataFrame([*WORKS, ("dhahabi", "al-Dhahabī", None)], "key string, work string, author string")
+    return every.join(F.broadcast(works), "key", "left").withColumn("work", F.coalesce("work", "key"))  # a fixed table
+
+
+def facts(profiles: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """id, tabaqa, weight: the class by number, else by its wording; verdicts count one each, the source's score a hundredth."""
+    n = verdicts.groupBy("id").agg(F.count("*").alias("n"))
+    joined = profiles.join(n, "id", "left")
+    return joined.select("id", F.coalesce("generation", text.parse_class(F.col("tabaqat"))).alias("tabaqa"), (F.coalesce("n", F.lit(0)) + F.coalesce("id_score", F.lit(0.0)) / 100).alias("weight"))
+
+
+def name_index(namings: DataFrame) -> DataFrame:
+    """key, ids (ascending) from id, key: whom a name may mean. Spans that name nobody are no keys."""
+    return namings.filter(~F.col("key").isin(NON_NAME_SPANS)).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
 def reconcile(grade: Column, tabaqa: Column, died: Column, verdicts: Column) -> Column:
     """The grade after companionship is checked against class and death; verdicts: array of English grades."""
     first = F.coalesce(*[F.when(F.array_contains(verdicts, g), g) for g in GRADES], F.lit("unknown"))

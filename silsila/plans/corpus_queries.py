@@ -286,10 +286,13 @@ def book_summary(spark, sf):
     return r.groupBy("slug").agg(F.count("*").alias("reports"), F.count_if(F.size("chain") > 0).alias("chains")).join(people, "slug")
 
 
-@query(f"WITH {sql.CORPUS} SELECT s.id, {sql.fnv('s.id', 8)} AS shard FROM s SEMI JOIN k ON k.nar = s.id")
+@query(f"WITH {sql.CORPUS}, u AS (SELECT s.id FROM s SEMI JOIN k ON k.nar = s.id) SELECT id, {sql.fnv('id', '(SELECT greatest(1, ceil(count(*) / 400.0))::BIGINT FROM u)')} AS shard FROM u")
 def bio_shards(spark, sf):
+    """Four hundred profiles a shard, one shard at least."""
     used = corpus.reports(spark, sf).select(F.explode("chain").alias("id")).distinct()
-    return corpus.transmitters(spark, sf).join(used, "id", "left_semi").select("id", shard_column(F.col("id"), 8).alias("shard"))
+    people = corpus.transmitters(spark, sf).join(used, "id", "left_semi").select("id")
+    shards = people.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / 400)).alias("shards"))
+    return people.crossJoin(F.broadcast(shards)).select("id", shard_column(F.col("id"), F.col("shards")).alias("shard"))  # one row
 
 
 @query("SELECT l_suppkey AS id, list_sort(list(l_quantity))[floor(count(*) * CAST(0.9 AS DOUBLE))::BIGINT + 1] AS p90, list_sort(list(l_quantity))[floor(count(*) * CAST(0.5 AS DOUBLE))::BIGINT + 1] AS p50 FROM lineitem GROUP BY l_suppkey")
@@ -359,7 +362,7 @@ def grade_positional_join(spark, sf):
     first = d.groupBy("grp").agg(F.min("id").alias("first"))
     other = d.join(F.broadcast(least)).join(first, "grp").filter(~((F.col("grp") == "src5") & (F.col("id") == F.col("first"))))
     theirs = other.select("grp", "pos", F.when((F.col("grp") == "src3") & (F.col("id") % 97 == F.col("m")), F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"), F.col("lang").alias("value"))
-    return records.positional_join(d.select("grp", "pos", "id", "text"), theirs)
+    return records.positional_join(d.select("grp", "pos", "id", "text"), theirs, reading=lambda c: c)  # Latin texts
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, string_split(lower(p_name), ' ') AS words FROM part),

@@ -33,9 +33,9 @@ def _sweep(k: int) -> str:
   SELECT later AS id, gen + 1 AS v FROM nb JOIN {g} ON {g}.id = earlier UNION ALL SELECT earlier, gen - 1 FROM nb JOIN {g} ON {g}.id = later) WHERE id NOT IN (SELECT id FROM {g}) GROUP BY id)"""
 
 
-GENERATIONS = (
-    CORPUS
-    + f""",
+#: What follows the tables r (reports), k (links) and s (transmitters).
+GENERATION_STEPS = (
+    f""",
 d AS (SELECT id AS report, 'prophet' AS id, 0 AS depth, to_apex AS anchored FROM r WHERE id IN (SELECT id FROM k)
   UNION ALL SELECT k.id, nar, pos + 1, to_apex FROM k JOIN r USING (id)
   UNION ALL SELECT k.id, 'collector:' || slug, n + 1, to_apex FROM k JOIN r USING (id) WHERE pos = n - 1),
@@ -64,6 +64,8 @@ gs AS (SELECT gd.id, gd.gen, gd.src, coalesce(q.sub, 0.5::DOUBLE) AS sub FROM gd
 reg AS (SELECT gs.id, CASE WHEN gs.id = 'prophet' THEN 0 ELSE gen END AS gen, CASE WHEN gs.id = 'prophet' THEN 'chains' ELSE src END AS src, sub, coalesce(woman, false) AS woman FROM gs LEFT JOIN s USING (id))"""
 )
 
+GENERATIONS = CORPUS + GENERATION_STEPS
+
 KINDS = (
     GENERATIONS
     + """,

@@ -137,6 +137,11 @@ def page(rows: DataFrame, number: int, first: int = 40, more: int = 160) -> Data
     return rows.limit(first + number * more)
 
 
+def first_pins(ids, most: int = 60):
+    """Of a transmitter's reports, those that 'show only these' pins."""
+    return F.slice(ids, 1, most)
+
+
 def edge_intensity(weight, kind, gap, pairs):
     """How brightly an edge is drawn among so many."""
     density = F.least(F.lit(1.0), F.greatest(F.lit(0.22), 5000 / F.greatest(pairs, F.lit(1))))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus_queries, literal_queries
+from .plans import corpus_queries, literal_queries, small_corpus  # noqa: F401  small_corpus adds to the queries of corpus_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

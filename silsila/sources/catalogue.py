@@ -76,3 +76,31 @@ def read_version(spark: SparkSession, path: str, version: str) -> DataFrame:
 def replace_book(df: DataFrame, path: str) -> None:
     """Overwrite only the collections that df holds (dynamic partitions by slug)."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").parquet(path)
+
+
+MANIFEST = "slug string, reports long, chains long, author_died int"
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
+    """The manifest, or an empty one where there is none yet."""
+    fs, at = _folder(spark, path)
+    return spark.read.schema(schema).json(path) if fs.exists(at) else spark.createDataFrame([], schema)
+
+
+def prune_shards(spark: SparkSession, path: str, prefix: str, kept: int) -> int:
+    """Remove the files '<prefix>-N...' of a folder with N of `kept` and more; how many there were."""
+    import re
+
+    fs, at = _folder(spark, path)
+    gone = 0
+    for status in fs.listStatus(at) if fs.exists(at) else []:
+        m = re.match(rf"{re.escape(prefix)}-(\d+)(?:\D|$)", status.getPath().getName())
+        if m and int(m[1]) >= kept:
+            fs.delete(status.getPath(), True)
+            gone += 1
+    return gone

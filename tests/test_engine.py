@@ -183,3 +183,17 @@ def test_cache_retries_and_remembers(tmp_path):
     with pytest.raises(NotFound):
         fetch_cached("v", gone, str(tmp_path), sleep=waits.append)
     assert len(calls) == 4
+
+
+def test_manifest_and_shards(spark, tmp_path):
+    from silsila.sources import catalogue
+
+    path = str(tmp_path / "manifest.json")
+    assert catalogue.read_manifest(spark, path).count() == 0
+    (tmp_path / "manifest.json").write_text('{"slug": "a", "reports": 3}')
+    assert [(r.slug, r.reports) for r in catalogue.read_manifest(spark, path).collect()] == [("a", 3)]
+    for k in (0, 1, 2, 10):
+        (tmp_path / f"bio-{k}.json").write_text("{}")
+    (tmp_path / "bio-x.json").write_text("{}")
+    assert catalogue.prune_shards(spark, str(tmp_path), "bio", 2) == 2 and catalogue.prune_shards(spark, str(tmp_path), "bio", 2) == 0
+    assert sorted(p.name for p in tmp_path.glob("bio-*.json")) == ["bio-0.json", "bio-1.json", "bio-x.json"]
