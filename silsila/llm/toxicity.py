@@ -26,10 +26,9 @@ SAMPLE_BYTES = 20_000
 WINDOW, STRIDE = 48, 32
 WORDS, TRIGRAMS = 1 << 14, 1 << 11
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
-EPOCHS, BATCH, RATE = 6, 50, 0.02
+#: The rate falls to nothing in a straight line.
+EPOCHS, BATCH, RATE = 10, 50, 0.02
 THRESHOLD = 0.3
-#: A word's label odds start its vector only if they differ from the rest by so many standard deviations.
-SURE = 4.0
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -172,18 +171,6 @@ def _places(w: Words, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray
     return w.which[np.minimum(start[:, None] + step, max(len(w.which) - 1, 0))] if len(w.which) else np.zeros((0, WINDOW), np.int64), mask.astype(np.float32)
 
 
-def label_odds(w: Words, rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """For each word bucket the log odds of label 1 among the documents that have it; 0 unless they surely differ."""
-    seen = np.unique(rows * WORDS + w.ids[w.which])
-    doc, word = seen // WORDS, seen % WORDS
-    n = np.bincount(word, minlength=WORDS).astype(float)
-    n1 = np.bincount(word, weights=labels[doc], minlength=WORDS)
-    share = labels.mean()
-    z = (n1 - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
-    odds = np.log((n1 + 0.5) / (n - n1 + 0.5)) - np.log(share / (1 - share))
-    return np.where(np.abs(z) >= SURE, np.clip(odds, -3, 3), 0).astype(np.float32)
-
-
 def train(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int = 5) -> Network:
     """Fit on whole documents by their highest window; then scale logits to the base rate of label 1."""
     net = Network(seed)
@@ -194,17 +181,16 @@ def train(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int =
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=offsets[1:])
     w = Words(np.frombuffer(b"".join(texts), np.uint8), offsets)
-    odds = label_odds(w, np.repeat(np.arange(len(texts)), np.diff(w.first)), labels)
-    net.p["word"][:, 0] = odds
     start, length, row = w.windows()
     at, mask = _places(w, start, length)
-    first_guess = (odds[w.ids][at] * mask).max(1)
     by_row = np.searchsorted(row, np.arange(len(texts) + 1))
     usable = np.flatnonzero(np.diff(by_row) > 0)
     rng, moments, turn = np.random.default_rng(seed + 1), {}, 0
+    steps = max(len(usable) // BATCH, 1)
     for epoch in range(EPOCHS):
-        logits = all_logits(net, w, start, length) if epoch else first_guess
-        for part in np.array_split(rng.permutation(usable), max(len(usable) // BATCH, 1)):
+        # Before anything is learned the first window stands for its document; from then on the highest does.
+        logits = all_logits(net, w, start, length) if epoch else np.zeros(len(start))
+        for part in np.array_split(rng.permutation(usable), steps):
             top = np.array([by_row[d] + np.argmax(logits[by_row[d] : by_row[d + 1]]) for d in part])
             pick, own = np.unique(at[top], return_inverse=True)
             own = own.reshape(at[top].shape)
@@ -216,12 +202,13 @@ def train(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int =
             g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
             np.add.at(g["word"], ids, dx[:, :WORD_DIM])
             np.add.at(g["char"], trigrams, (dx[:, WORD_DIM:] / np.maximum(sizes, 1)[:, None])[of])
+            rate = RATE * (1 - turn / (EPOCHS * steps))
             turn += 1
             for k, v in g.items():
                 m, s = moments.setdefault(k, (np.zeros_like(v), np.zeros_like(v)))
                 m += 0.1 * (v - m)
                 s += 0.01 * (v * v - s)
-                net.p[k] -= (RATE * (m / (1 - 0.9**turn)) / (np.sqrt(s / (1 - 0.99**turn)) + 1e-7)).astype(np.float32)
+                net.p[k] -= (rate * (m / (1 - 0.9**turn)) / (np.sqrt(s / (1 - 0.99**turn)) + 1e-7)).astype(np.float32)
     logits = all_logits(net, w, start, length)
     worst = np.array([logits[by_row[d] : by_row[d + 1]].max() for d in usable])
     a, b, y = 1.0, 0.0, labels[usable]
@@ -262,7 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
         return train([], np.zeros(0), 0.0)
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in rows], "l_id long, toxic int")  # SUM(SAMPLE) rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("raw")).filter(F.length("raw") <= SAMPLE_BYTES).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
-    found = sorted(((r.doc_id, bytes(r.raw), r.toxic) for r in texts.dropDuplicates(["doc_id"]).select("doc_id", "raw", "toxic").collect()), key=lambda r: (r[0], r[1]))
+    # Of rows that share an id the least text, so that a rerun learns from the same.
+    found = sorted((r.doc_id, bytes(r.raw), r.toxic) for r in texts.groupBy("doc_id").agg(F.min("raw").alias("raw"), F.max("toxic").alias("toxic")).collect())
     return train([r[1] for r in found], np.array([r[2] for r in found], float), counts.get(1, 0) / max(sum(counts.values()), 1))
 
 

@@ -302,6 +302,38 @@ def test_tags():
     assert all(page[a] == "<" and b > a for a, b, *_ in found)
 
 
+def _labels_by_definition(found):
+    """The second pass, each undecided block by itself, by looking at all others."""
+    first = [html_extract.decide(b) for b in found]
+
+    def nearest(k, allowed):
+        near = min((abs(k - j) for j in allowed), default=None)
+        at = {j: first[j] for j in allowed if abs(k - j) == near}
+        if len(set(at.values())) < 2:
+            return next(iter(at.values()), None)
+        return at[max(at)] if found[k].heading else True
+
+    out = []
+    for k, b in enumerate(found):
+        decided = [j for j in range(len(found)) if first[j] is not None]
+        own = nearest(k, [j for j in decided if found[j].region == b.region and found[j].decided is None])
+        anywhere = nearest(k, decided)
+        out.append(bool(first[k] if first[k] is not None else own if own is not None else True if b.article else anywhere))
+    return out
+
+
+def test_second_pass_by_definition():
+    rng = np.random.default_rng(3)
+    prose = "It is the house of a man who had not the time for it and it was in the way of all that is. "
+    for _ in range(400):
+        found = []
+        for _ in range(int(rng.integers(0, 14))):
+            text = [prose * 3, prose, "Home page", "zebra quartz lamp " * 6, "tags"][int(rng.integers(0, 5))].strip()
+            region = int(rng.integers(0, 3))
+            found.append(html_extract.Block(text, int(len(text) * rng.choice([0, 0, 0.3, 0.9])), region, region > 0, False if rng.random() < 0.15 else None, bool(rng.random() < 0.2)))
+        assert html_extract.label(found) == _labels_by_definition(found)
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     out = {r.page_id: r for r in html_extract.extract(pages).collect()}
@@ -550,6 +582,43 @@ def test_toxicity_gradient():
     assert abs((up - value()) / 2e-5 - dx[2, 3]) < 1e-7
 
 
+def test_toxicity_scores_every_window():
+    """Batches and tiles against one window at a time; the windows overlap and leave no word out."""
+    rng, net = np.random.default_rng(2), toxicity.Network(3)
+    net.shift = 0.0
+    words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 7)))) for _ in range(90)]
+    texts = [list(rng.choice(words, n)) for n in (1, 47, 48, 49, 80, 81, 300, 0, 1000)]
+    raw = [" ".join(t).encode() for t in texts]
+    offsets = np.cumsum([0] + [len(r) for r in raw])
+    got = toxicity.worst_windows(net, np.frombuffer(b"".join(raw), np.uint8), offsets)
+    for t, score in zip(texts, got, strict=True):
+        best, reached = -np.inf, 0
+        while reached < len(t):
+            start = 0 if not reached else reached - toxicity.WINDOW + toxicity.STRIDE
+            part = " ".join(t[start : start + toxicity.WINDOW]).encode()
+            w = toxicity.Words(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
+            at = w.which[None, :]
+            best, reached = max(best, float(net.forward(net.inputs(w), at, np.ones(at.shape, np.float32))[0])), start + toxicity.WINDOW
+        assert abs(score - (best if t else -3.0)) < 1e-4
+
+
+def test_toxicity_held_out():
+    """Documents that were not learned from."""
+    import zlib
+
+    import duckdb
+
+    folder = "/root/testdata/sf0.1"
+    sql = f"SELECT doc_id, text, max(toxic) FROM '{folder}/documents.parquet' JOIN '{folder}/labels.parquet' USING (doc_id) WHERE text IS NOT NULL AND toxic IN (0, 1) GROUP BY 1, 2 ORDER BY 1"
+    rows = [(x.encode(), y, zlib.crc32(str(i).encode()) % 4 == 2) for i, x, y in duckdb.sql(sql).fetchall()]
+    seen, held = [r for r in rows if not r[2]], [r for r in rows if r[2]]
+    net = toxicity.train([r[0] for r in seen], np.array([r[1] for r in seen], float), float(np.mean([r[1] for r in seen])))
+    raw = [r[0] for r in held]
+    logits = toxicity.worst_windows(net, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+    y, said = np.array([r[1] for r in held]), 1 / (1 + np.exp(-logits)) >= toxicity.THRESHOLD
+    assert (said & (y == 1)).sum() >= 0.75 * y.sum() and (said & (y == 1)).sum() >= 0.85 * said.sum()
+
+
 def test_toxicity_learns(spark):
     rng = np.random.default_rng(6)
     words = ["".join(rng.choice(list("aeioulnrst"), 5)) for _ in range(400)]
