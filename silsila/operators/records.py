@@ -9,6 +9,8 @@ from ..functions import text
 
 MIN_PREFIX, HEAD_WORDS, LONE_NAME_WORDS = 2, 12, 5
 MARK_MIN, MARK_MAX_ENTRIES = 3, 40
+#: Rows of one key that are paired as a whole.
+CHUNK = 4096
 
 # ---- fixed values: words that identify nobody -----------------------------------------------------------------------
 MARK_NOISE = """بن ابن ابو ابي ابا ام الله عبد مولاهم مولي مولاه ويقال وقيل يقال وهو هو اسمه وكان ثم من في الحافظ القاضي الامام الشيخ
@@ -73,9 +75,29 @@ def prefix_candidates(entries: DataFrame, namings: DataFrame) -> DataFrame:
     """
     opened = entries.select("entry", F.explode(prefixes(F.col("head"))).alias("key"))
     asked = namings.select("id", "naming", F.posexplode(prefixes(F.col("words"))).alias("p", "key")).withColumn("matched", F.col("p") + MIN_PREFIX)
-    hits = asked.join(opened, "key")
+    # The longest is settled before any entry is joined, so what the join makes is the answer and is not sorted again.
+    hits = asked.join(opened.select("key").distinct(), "key", "left_semi")
     longest = F.rank().over(Window.partitionBy("id", "naming").orderBy(F.col("matched").desc()))
-    return hits.withColumn("r", longest).filter("r = 1").select("id", "naming", "entry", "matched")
+    best = hits.withColumn("r", longest).filter("r = 1")
+    return _all_pairs(best.select("key", "id", "naming", "matched"), opened).select("id", "naming", "entry", "matched")
+
+
+def _all_pairs(left: DataFrame, right: DataFrame, key: str = "key") -> DataFrame:
+    """The inner join on key for keys of many rows on both sides, whose result is much larger than its inputs.
+
+    Both sides of a key are cut into chunks and each pair of chunks is a key of its own, so one key's pairs are spread
+    over all tasks. A row of left meets a chunk of right as one array, so a task holds about a chunk at a time.
+    """
+    chunks = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
+    dealt = lambda df, n: F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sizes = chunks(left, "_nl").join(chunks(right, "_nr"), key)
+    rows = left.join(sizes, key).select(*left.columns, dealt(left, "_nl").alias("_l"), every("_nr").alias("_r"))
+    values = [c for c in right.columns if c != key]
+    arrays = right.join(sizes, key).groupBy(key, "_nl", dealt(right, "_nr").alias("_r")).agg(F.collect_list(F.struct(*values)).alias("_rows"))
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is given is not lowered for the small inputs
+    met = rows.repartition(n, key, "_l", "_r").join(arrays.select(key, every("_nl").alias("_l"), "_r", "_rows"), [key, "_l", "_r"])
+    return met.select(*left.columns, F.explode("_rows").alias("_row")).select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in values])
 
 
 def align(found: DataFrame, entries: DataFrame, people: DataFrame, marks: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:

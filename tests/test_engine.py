@@ -1,5 +1,7 @@
 """Invariants that hold at any scale, plans, and sources and sinks."""
 
+import collections
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +100,25 @@ def test_alignment_vetoes_and_ties(spark):
     assert [r.entry for r in records.discriminate(spark.createDataFrame([(11, 3), (11, 2)], "id int, entry int"), marks, words).collect()] == [3]
 
 
+def test_prefix_candidates_of_hot_names(spark, monkeypatch):
+    monkeypatch.setattr(records, "CHUNK", 7, raising=False)
+    heads = [(k, ["red", "ring"] + ["big"] * (k % 3)) for k in range(50)] + [(50, ["red", "ring"]), (50, ["red", "ring"]), (51, ["red"]), (None, ["red", "ring", "big"]), (52, None)]
+    named = [(k, k % 2, ["red", "ring", *(["big"] if k % 2 else ["old", "one"])]) for k in range(40)] + [(7, 1, ["red", "ring", "big"]), (41, 0, ["blue", "ring"]), (None, 0, ["red", "ring"])]
+    out = records.prefix_candidates(spark.createDataFrame(heads, "entry long, head array<string>"), spark.createDataFrame(named, "id long, naming int, words array<string>"))
+    opens = collections.Counter((tuple(h[:k]), e) for e, h in heads for k in range(2, len(h or ()) + 1))
+    best = {}
+    for i, n, w in named:
+        best[i, n] = max([best.get((i, n), 0), *(k for k in range(2, len(w) + 1) if any(o == tuple(w[:k]) for o, _ in opens))])
+    want = collections.Counter()
+    for i, n, w in named:
+        for (o, e), c in opens.items():
+            if len(o) == best[i, n] and o == tuple(w[: len(o)]):
+                want[i, n, e, len(o)] += c
+    assert collections.Counter(map(tuple, out.collect())) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")  # the rank is below the join: the pairs themselves are never sorted
+
+
 def test_no_import_of_llm():
     from pathlib import Path
 
