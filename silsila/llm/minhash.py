@@ -142,16 +142,32 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp: the least node reachable over links (a, b). Labels spread to neighbours, then along themselves."""
-    both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumn("old", F.lit(None).cast("binary")), "cc-labels")
+    """node, comp: the least node reachable over links (a, b).
+
+    Every node points to its least neighbour, if that is less than itself; pointers are followed to their ends, and the
+    ends, at most half of the nodes, are the nodes of the next round. Links inside one end's tree are done and go, so a
+    link is read in as many rounds as its ends stay apart, not in all.
+    """
+    edges, labels = materialise(_apart(links), "cc-edges"), None
     while True:
-        near = both.join(labels.select(F.col("node").alias("a"), "comp"), "a").groupBy(F.col("b").alias("to")).agg(F.min("comp").alias("near"))
-        spread = labels.select("node", F.col("comp").alias("old")).join(near, F.col("node") == F.col("to")).select("node", "old", F.least("old", "near").alias("via"))
-        jump = labels.select(F.col("node").alias("via"), F.col("comp").alias("end"))
-        labels = materialise(spread.join(jump, "via", "left").select("node", "old", F.least("via", F.coalesce("end", "via")).alias("comp")), "cc-labels")
-        if labels.filter(F.col("old") != F.col("comp")).isEmpty():
-            return labels.select("node", "comp")
+        up = edges.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("comp")))
+        ends = materialise(up.groupBy("node").agg(F.min("comp").alias("comp")).withColumn("old", F.lit(None).cast("binary")), "cc-ends")
+        while True:
+            jump = ends.select(F.col("node").alias("via"), F.col("comp").alias("end"))
+            ends = materialise(ends.select("node", F.col("comp").alias("old")).join(jump, F.col("old") == F.col("via")).select("node", F.col("end").alias("comp"), "old"), "cc-ends")
+            if ends.filter(F.col("old") != F.col("comp")).isEmpty():
+                break
+        step = ends.select(F.col("node").alias("via"), F.col("comp").alias("end"))
+        labels = step.select(F.col("via").alias("node"), F.col("end").alias("comp")) if labels is None else materialise(labels.join(step, F.col("comp") == F.col("via"), "left").select("node", F.coalesce("end", "comp").alias("comp")), "cc-labels")
+        first = edges.join(step.withColumnRenamed("via", "a"), "a").select(F.col("end").alias("a"), "b")
+        edges = materialise(_apart(first.join(step.withColumnRenamed("via", "b"), "b").select("a", F.col("end").alias("b"))), "cc-edges")
+        if edges.isEmpty():
+            return labels
+
+
+def _apart(links: DataFrame) -> DataFrame:
+    """Distinct links between different nodes, the lesser node first."""
+    return links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
@@ -169,9 +185,12 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa:
     ident = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("text_hash"))
     classes = materialise(some.groupBy("cls").agg(F.min(ident).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-classes")
     in_buckets = classes.select("cls", "n", "rep", F.explode("bands").alias("bucket"))
-    shared = in_buckets.groupBy("bucket").agg(F.min("cls").alias("hub"), F.min_by("n", "cls").alias("hub_n"), F.count("*").alias("members")).filter("members > 1")
-    shared = materialise(shared, "near-buckets")
-    members = materialise(in_buckets.join(shared, "bucket").select("bucket", "cls", "n", "rep", "hub", "hub_n"), "near-members")
+    shared = materialise(in_buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "near-buckets")
+    members = materialise(in_buckets.join(shared, "bucket"), "near-members")
+    # The hub is the class that meets most others in all its buckets: the same one in most buckets of a group, so few pairs.
+    fame = members.groupBy("cls").agg(F.sum("members").alias("fame"))
+    hubs = members.join(fame, "cls").groupBy("bucket").agg(F.max(F.struct("fame", "cls", "n")).alias("x")).select("bucket", F.col("x.cls").alias("hub"), F.col("x.n").alias("hub_n"))
+    members = materialise(members.join(materialise(hubs, "near-hubs"), "bucket").select("bucket", "cls", "n", "rep", "hub", "hub_n"), "near-members")
     links = _link(docs, members, rule)
     labels = classes.select("cls", "rep")
     if links is not None:

@@ -415,6 +415,46 @@ def test_near_large_family(spark, monkeypatch):
     assert sum(made) < 900 * 900 / 20
 
 
+def test_near_one_hub(spark, monkeypatch):
+    """Lightly edited copies of one text share most buckets: they are compared with one hub, not with one in every bucket."""
+    rng = np.random.default_rng(12)
+    base, texts, made = [f"w{k}" for k in range(300)], [], []
+    for _ in range(800):
+        words = list(base)
+        for j in rng.integers(0, 300, int(rng.integers(1, 9))):
+            words[j] = f"n{rng.integers(0, 10**6)}"
+        texts.append(" ".join(words))
+    verify = minhash.verify
+    monkeypatch.setattr(minhash, "verify", lambda pairs, *rest: made.append(pairs.count()) or verify(pairs, *rest))
+    _check_near(spark.createDataFrame(list(enumerate([" ".join(base), *texts])), "doc_id long, text string"))
+    assert sum(made) < 5 * len(texts)
+
+
+@pytest.mark.parametrize("kind", ["path", "stars", "random", "none"])
+def test_components(spark, monkeypatch, kind):
+    """Exact components, and links that fall away as their ends meet: all rounds together read no more than twice what the first reads."""
+    rng, n, read = np.random.default_rng(5), 700, []
+    name = [b"%08d" % k for k in rng.permutation(n)]
+    ends = {"path": [(k, k + 1) for k in range(n - 1)], "stars": [(k - k % 50, k) for k in range(n)], "random": rng.integers(0, n, (n // 2, 2)).tolist(), "none": []}[kind]
+    parent = {name[k]: name[k] for e in ends if e[0] != e[1] for k in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in ends:
+        if a != b:
+            x, y = sorted((find(name[a]), find(name[b])))
+            parent[y] = x
+    keep = minhash.materialise
+    monkeypatch.setattr(minhash, "materialise", lambda df, tag: (out := keep(df, tag), tag == "cc-edges" and read.append(out.count()))[0])
+    links = spark.createDataFrame([(bytearray(name[a]), bytearray(name[b])) for a, b in ends], "a binary, b binary")
+    got = {bytes(r.node): bytes(r.comp) for r in minhash.components(links).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert sum(read) <= 2 * read[0] and read[-1] == 0
+
+
 def test_near_awkward(spark):
     d = h.awkward(spark)
     _check_near(d)
