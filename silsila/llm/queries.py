@@ -16,7 +16,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(table(spark, sf_dir, "documents")).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"), words=suffix.PASSAGE, report=True)
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

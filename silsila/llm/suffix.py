@@ -15,8 +15,8 @@ Intervals are extended run by run of the transform, so wide intervals of repetit
 An anchor with more units than a block holds is split: windows in steps of their distance from the anchor share a
 core, whose hash is a finer anchor. Steps shrink to single windows, which are settled by counting alone.
 
-Passages of a number of words can be removed too, whatever their bytes: windows of so many words whose least gram of
-WORD_GRAM words occurs once are unique; the others are hashed and counted one by one.
+Passages of a number of words can be removed or reported too, whatever their bytes: windows of so many words meet by
+their least gram of WORD_GRAM words and make units in the same way; windows of different units are hashed and counted.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ BLOCK = 1 << 18
 STEPS = (47, 6, 1)
 #: A longer text is searched for units in overlapping segments of this size.
 SEGMENT = 1 << 20
-#: Words of a passage that pipelines remove wherever it repeats, and of the grams that windows of words meet by.
+#: Words of a passage that pipelines remove, and op2 reports, wherever it repeats, and of the grams that windows of words meet by.
 PASSAGE, WORD_GRAM = 51, 8
 _BYTE = mix64(np.arange(1, 257).astype(np.uint64))
 
@@ -279,20 +279,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
 
-def _digest(least: int, with_text: bool):
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans (from, to) that meet or overlap as one, in order."""
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return merged
+
+
+def _digest(least: int, with_text: bool, reported: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
-            n_bytes, removed, n_spans, digests, texts = [], [], [], [], []
+            n_bytes, removed, n_spans, digests, texts, n_passages, passage_bytes = [], [], [], [], [], [], []
             for raw, spans in zip(rows["raw"], rows["spans"], strict=True):
                 raw = raw or b""
-                merged: list[list[int]] = []
-                for a, c in sorted((s["start"], s["windows"]) for s in spans or ()):
-                    b = a + c - 1 + least
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
+                merged = _merged([(s["start"], s["start"] + s["windows"] - 1 + least) for s in spans or () if not (reported and s["passage"])])
+                if reported:
+                    passages = _merged([(s["start"], s["start"] + s["windows"] - 1 + least) for s in spans or () if s["passage"]])
+                    n_passages.append(len(passages))
+                    passage_bytes.append(sum(b - a for a, b in passages))
                 n_bytes.append(len(raw))
                 removed.append(sum(b - a for a, b in merged))
                 n_spans.append(len(merged))
@@ -301,6 +310,8 @@ def _digest(least: int, with_text: bool):
                     texts.append(_without(raw, [x for x in (_whole(raw, a, b) for a, b in merged) if x[0] < x[1]]).decode("utf-8", "replace"))
             cols = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
             names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            if reported:
+                cols, names = [*cols, pa.array(n_passages, pa.int64()), pa.array(passage_bytes, pa.int64())], [*names, "n_passages", "passage_bytes"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())] if with_text else cols, [*names, "kept_text"] if with_text else names)
 
     return run
@@ -387,67 +398,111 @@ def word_windows(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return starts[at], ends[at + words - 1], row[at], place, grams[place].view(np.int64), _rolled(hashes, words)[at].view(np.int64)
 
 
-def _word_anchors(words: int):
+PASSAGE_UNITS = "rid long, start long, size int, anchor long, hash long, occ int"
+
+
+def word_units(found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From word_windows, for each unit (neighbouring windows with one anchor): its first window, its last one, its hash."""
+    place, hashes = found[3], found[5].view(np.uint64)
+    head = np.ones(len(place), bool)
+    head[1:] = place[1:] != place[:-1]
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(place))[: len(first)] - 1
+    up, down = _powers(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return first, last, mix64((total[last + 1] - total[first]) * down[first] ^ (last - first).astype(np.uint64)).view(np.int64)
+
+
+def _passage_units(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "raw"):
-                _, _, row, place, anchor, _ = word_windows(*flat(batch, "raw"), words)
-                _, once = np.unique(place, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy(zero_copy_only=False)[row[once]]), pa.array(anchor[once])], ["rid", "anchor"])
+                data, offsets = flat(batch, "raw")
+                found = word_windows(data, offsets, words)
+                first, last, hashes = word_units(found)
+                start, end, row, _, anchor, _ = found
+                # Equal units that follow one another directly (periodic text) are one row with occ of them.
+                new = np.ones(len(first), bool)
+                new[1:] = (hashes[1:] != hashes[:-1]) | (anchor[first[1:]] != anchor[first[:-1]]) | (row[first[1:]] != row[first[:-1]])
+                run = np.flatnonzero(new)
+                upto = np.append(run[1:], len(first))[: len(run)]
+                first, last, hashes, occ = first[run], last[upto - 1], hashes[run], upto - run
+                row = row[first]
+                rid = batch.column(0).to_numpy(zero_copy_only=False)[row]
+                cols = [pa.array(rid), pa.array(start[first] - offsets[row]), pa.array((end[last] - start[first]).astype(np.int32)), pa.array(anchor[first]), pa.array(hashes), pa.array(occ.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["rid", "start", "size", "anchor", "hash", "occ"])
 
     return run
 
 
-def _candidates(words: int):
-    """The windows whose anchor is one of their row's shared ones."""
+def _unit_windows(words: int):
+    """The windows of the units listed for a row, each as 2 * its start, plus one if it occurs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "raw"):
                 data, offsets = flat(batch, "raw")
-                start, end, row, _, anchor, hashes = word_windows(data, offsets, words)
+                found = word_windows(data, offsets, words)
+                first, last, _ = word_units(found)
+                start, end, row, _, _, hashes = found
                 lists = batch.column(2).to_pylist()
                 of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                shared = np.array([x for one in lists for x in one], np.int64)
-                key = lambda r, a: mix64(r.astype(np.uint64) + np.uint64(1)) ^ a.view(np.uint64)
-                at = np.flatnonzero(np.isin(key(row, anchor), key(of, shared)))
-                start, end, row = start[at], end[at], row[at]
+                listed = np.array([x for one in lists for x in one], np.int64)
+                unit = np.searchsorted(start[first], offsets[of] + (listed >> 1))
+                kind = np.zeros(len(first), np.int8)
+                kind[unit] = 1 + (listed & 1)
+                kind = np.repeat(kind, last - first + 1)
+                at = np.flatnonzero(kind)
+                start, size, row = start[at], (end - start)[at].astype(np.int32), row[at]
                 rid = batch.column(0).to_numpy(zero_copy_only=False)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start - offsets[row]), pa.array((end - start).astype(np.int32)), pa.array(hashes[at])], ["rid", "start", "size", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start - offsets[row]), pa.array(size), pa.array(hashes[at]), pa.array(kind[at] == 2)], ["rid", "start", "size", "hash", "single"])
 
     return run
 
 
 def repeated_passages(texts: DataFrame, words: int) -> DataFrame:
-    """rid, start, size in bytes, from rid, raw: all stretches of `words` words that also stand elsewhere in the corpus."""
-    met = materialise(texts.select("rid", "raw").transform(map_arrow, _word_anchors(words), "rid long, anchor long"), "passage-anchors")
-    common = materialise(met.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "passage-common")
-    shared = materialise(met.join(common, "anchor", "left_semi"), "passage-shared")
-    by_text = shared.groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
-    found = texts.select("rid", "raw").join(by_text, "rid").select("rid", "raw", "anchors").transform(map_arrow, _candidates(words), "rid long, start long, size int, hash long")
+    """rid, start, size in bytes, from rid, raw: all stretches of `words` words that also stand elsewhere in the corpus.
+
+    As with bytes: units whose anchor occurs once hold nothing repeated, equal units are settled by counting them, and
+    of different units with a common anchor one each is cut to its windows, which are counted one by one.
+    """
+    units = materialise(texts.select("rid", "raw").transform(map_arrow, _passage_units(words), PASSAGE_UNITS), "passage-units")
+    common = materialise(units.groupBy("anchor").agg(F.sum("occ").alias("n")).filter("n > 1").select("anchor"), "passage-common")
+    shared = materialise(units.join(common, "anchor", "left_semi"), "passage-shared")
+    counted = materialise(shared.groupBy("anchor", "hash").agg(F.sum("occ").alias("n"), F.min(F.struct("rid", "start")).alias("rep")), "passage-counted")
+    settled = shared.join(counted.filter("n > 1").select("anchor", "hash"), ["anchor", "hash"], "left_semi").select("rid", "start", "size")
+    several = materialise(counted.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"), "passage-several")
+    wanted = counted.join(several, "anchor", "left_semi").select(F.col("rep.rid").alias("rid"), (2 * F.col("rep.start") + F.when(F.col("n") == 1, 1).otherwise(0)).alias("unit"))
+    by_text = wanted.groupBy("rid").agg(F.collect_list("unit").alias("units"))
+    found = texts.select("rid", "raw").join(by_text, "rid").select("rid", "raw", "units").transform(map_arrow, _unit_windows(words), "rid long, start long, size int, hash long, single boolean")
     found = materialise(found, "passage-windows")
     twice = materialise(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "passage-twice")
-    return found.join(twice, "hash", "left_semi").select("rid", "start", "size")
+    return settled.unionByName(found.filter("single").join(twice, "hash", "left_semi").select("rid", "start", "size"))
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False, words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False, words: int | None = None, report: bool = False) -> DataFrame:
     """row (struct of the carried columns), n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept_text.
 
     Each byte that a MIN-byte string covers which also starts elsewhere in the corpus (this row or another) is
     removed, judged on the input. A null text is empty; texts of fewer than MIN bytes lose nothing; repeated rows are
     rows of their own, so both lose what they share; an empty table gives no rows. kept_text cuts at whole characters:
     a character that is only partly covered stays. With `words`, stretches of so many words (WORD_GRAM at least) that
-    also stand elsewhere, with whatever white space between them, are removed as well, however few bytes they have.
+    also stand elsewhere, with whatever white space between them, are removed as well, however few bytes they have;
+    with `report`, these stay and n_passages (maximal runs of such stretches) and passage_bytes (bytes they cover,
+    removed or not) tell of them.
     """
     texts = _bucketed(docs, carry)
-    spans = repeated_spans(texts)
+    spans = repeated_spans(texts).withColumn("passage", F.lit(False))
     if words:
         # A span ends MIN - 1 bytes after the last of its windows, so a short passage has a negative number of them.
-        spans = spans.unionByName(repeated_passages(texts, words).select("rid", "start", (F.col("size") - MIN + 1).alias("windows")))
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+        passages = repeated_passages(texts, words).select("rid", "start", (F.col("size") - MIN + 1).alias("windows"), F.lit(True).alias("passage"))
+        spans = spans.unionByName(passages)
+    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "windows", "passage")).alias("spans"))
     joined = texts.join(spans.withColumnRenamed("rid", "of"), F.col("rid") == F.col("of"), "left").select("row", "raw", "spans")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.transform(map_arrow, _digest(MIN, with_text), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else ""))
+    kinds = f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", n_passages long, passage_bytes long" if report else "") + (", kept_text string" if with_text else "")
+    return joined.transform(map_arrow, _digest(MIN, with_text, report), kinds)
 
 
 def without_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:

@@ -5,9 +5,11 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from silsila.llm import queries, suffix
 from silsila.llm.common import materialise
 
 from . import helpers as h
@@ -87,6 +89,47 @@ def test_passages_of_over_50_words(spark, sf_dir):
     assert not any(p in t for t in got.values() for p in (short, common, *items)) and sum(fifty in t for t in got.values()) == 3
 
 
+def _passage_figures(raws, words=51):
+    """(maximal runs, bytes) of all runs of `words` words that also stand elsewhere, by counting."""
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in raws]
+    runs = [[tuple(b[x:y] for x, y in s[i : i + words]) for i in range(len(s) - words + 1)] for b, s in zip(raws, spans, strict=True)]
+    seen = collections.Counter(w for r in runs for w in r)
+    out = []
+    for b, s, r in zip(raws, spans, runs, strict=True):
+        hit = bytearray(len(b))
+        for i, w in enumerate(r):
+            if seen[w] > 1:
+                hit[s[i][0] : s[i + words - 1][1]] = b"\1" * (s[i + words - 1][1] - s[i][0])
+        out.append((len(re.findall(rb"\x01+", hit)), sum(hit)))
+    return out
+
+
+def test_op2_reports_short_passages(spark, sf_dir, tmp_path):
+    """Repeated passages of 51 words under 400 bytes show in columns of their own; the contract's columns stay as they are."""
+    rng = random.Random(9)
+    noise = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(n))
+    planted, fifty, clean = noise(51), noise(50), [noise(90) for _ in range(3)]
+    assert len(planted) < 400
+    texts = [f"{noise(40)} {p} {noise(40)}" for p in (planted, planted, fifty, fifty)] + clean
+    texts += [planted.replace(" ", "\n"), f"{planted} {noise(2)}", f"{noise(5)} {planted} {planted}", "x y " * 90, "x y " * 90, None, "", noise(120) + " é" * 60]
+    texts += [t for (t,) in h.rows_of(h.docs(spark, sf_dir).limit(60), "text")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    raws = [(t or "").encode() for t in texts]
+    assert [(got[i].n_passages, got[i].passage_bytes) for i in range(len(texts))] == _passage_figures(raws)
+    assert all(got[i].passage_bytes >= len(planted) for i in (0, 1)) and not any(got[i].passage_bytes for i in (2, 3, 4, 5, 6))
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == [
+        (len(b), n, s, hashlib.sha256(k).hexdigest()) for b, (k, n, s) in zip(raws, h.without_repeats(raws), strict=True)
+    ]
+
+
+def test_periodic_passages_are_one_row():
+    """A line that repeats in one text makes a row for the whole run, not one for every few words."""
+    raw = ("Is onhe. " * 3000).encode()
+    units = [r for b in suffix._passage_units(51)(iter([pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([raw, raw])], ["rid", "raw"])])) for r in b.to_pylist()]
+    assert len(units) <= 6 and sum(u["occ"] for u in units) > 5000 and {u["rid"] for u in units} == {7, 8}
+
+
 def test_stages_on_awkward_rows(spark, sf_dir):
     """Nulls, empty and very long texts, repeats and clashing names go through all stages in a row."""
     rows = h.awkward(spark).withColumn("mix_pass", F.lit("x")).withColumn("mix_shard", F.lit(None).cast("string"))
