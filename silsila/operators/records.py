@@ -11,6 +11,8 @@ MIN_PREFIX, HEAD_WORDS, LONE_NAME_WORDS = 2, 12, 5
 MARK_MIN, MARK_MAX_ENTRIES = 3, 40
 #: Rows of one key that are paired as a whole.
 CHUNK = 4096
+#: Of these, so many at a time meet a row of the other side. A page of Parquet holds 20,000 rows: many cycles, and long runs.
+STRIPE = 256
 
 # ---- fixed values: words that identify nobody -----------------------------------------------------------------------
 MARK_NOISE = """بن ابن ابو ابي ابا ام الله عبد مولاهم مولي مولاه ويقال وقيل يقال وهو هو اسمه وكان ثم من في الحافظ القاضي الامام الشيخ
@@ -86,18 +88,26 @@ def _all_pairs(left: DataFrame, right: DataFrame, key: str = "key") -> DataFrame
     """The inner join on key for keys of many rows on both sides, whose result is much larger than its inputs.
 
     Both sides of a key are cut into chunks and each pair of chunks is a key of its own, so one key's pairs are spread
-    over all tasks. A row of left meets a chunk of right as one array, so a task holds about a chunk at a time.
+    over all tasks. A chunk is one array; a stripe of the right one meets each row of the left one in turn. So columns of
+    left come in runs and those of right in short cycles, which a page of Parquet holds as runs and as copies: the
+    result's size is what such a join leaves on the disk.
     """
     chunks = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
     dealt = lambda df, n: F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sizes = chunks(left, "_nl").join(chunks(right, "_nr"), key)
-    rows = left.join(sizes, key).select(*left.columns, dealt(left, "_nl").alias("_l"), every("_nr").alias("_r"))
-    values = [c for c in right.columns if c != key]
-    arrays = right.join(sizes, key).groupBy(key, "_nl", dealt(right, "_nr").alias("_r")).agg(F.collect_list(F.struct(*values)).alias("_rows"))
+    values = lambda df: [c for c in df.columns if c != key]
+    packed = lambda df, n, other: df.join(sizes, key).groupBy(key, other, dealt(df, n).alias("_own")).agg(F.collect_list(F.struct(*values(df))).alias("_rows"))
+    a = packed(left, "_nl", "_nr").select(key, F.col("_own").alias("_l"), every("_nr").alias("_r"), F.col("_rows").alias("_left"))
+    b = packed(right, "_nr", "_nl").select(key, every("_nl").alias("_l"), F.col("_own").alias("_r"), F.col("_rows").alias("_right"))
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is given is not lowered for the small inputs
-    met = rows.repartition(n, key, "_l", "_r").join(arrays.select(key, every("_nl").alias("_l"), "_r", "_rows"), [key, "_l", "_r"])
-    return met.select(*left.columns, F.explode("_rows").alias("_row")).select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in values])
+    met = a.repartition(n, key, "_l", "_r").join(b, [key, "_l", "_r"])
+    stripes = F.transform(F.sequence(F.lit(0), F.floor((F.size("_right") - 1) / STRIPE).cast("int")), lambda k: F.slice("_right", k * STRIPE + 1, STRIPE))
+    striped = met.select(key, "_left", F.explode(stripes).alias("_stripe"))
+    # transform() has no generated code. Generated code holds all that one row explodes to: so that is one stripe, not two chunks.
+    rows = F.transform("_left", lambda x: F.struct(*[x[c].alias(c) for c in values(left)]))
+    each = striped.select(key, F.explode(rows).alias("_a"), "_stripe").select(key, "_a", F.explode("_stripe").alias("_b"))
+    return each.select(key, *[F.col(f"_a.{c}").alias(c) for c in values(left)], *[F.col(f"_b.{c}").alias(c) for c in values(right)])
 
 
 def align(found: DataFrame, entries: DataFrame, people: DataFrame, marks: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:

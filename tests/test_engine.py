@@ -1,6 +1,7 @@
 """Invariants that hold at any scale, plans, and sources and sinks."""
 
 import collections
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,33 @@ def test_prefix_candidates_of_hot_names(spark, monkeypatch):
     assert plan.index("Join") < plan.index("Window")  # the rank is below the join: the pairs themselves are never sorted
 
 
+def test_all_pairs_by_stripes(spark, monkeypatch):
+    monkeypatch.setattr(records, "CHUNK", 20)
+    monkeypatch.setattr(records, "STRIPE", 4, raising=False)
+    left = [(k % 3 or 7, n) for n, k in enumerate(range(100))] + [(1, 3), (1, 3), (None, 1), (9, 1), (2, None)]
+    right = [(k % 4 + 1, n, str(n % 2)) for n, k in enumerate(range(150))] + [(1, 0, "0"), (7, 1, "x"), (None, 2, "x"), (1, None, None)]
+    out = records._all_pairs(spark.createDataFrame(left, "key int, a int"), spark.createDataFrame(right, "key int, b int, c string"))
+    assert out.columns == ["key", "a", "b", "c"]
+    assert collections.Counter(map(tuple, out.collect())) == collections.Counter((k, a, b, c) for k, a in left for o, b, c in right if k == o and k is not None)
+
+
+def test_prefix_candidates_are_small_on_disk(spark, tmp_path):
+    entries = spark.range(3001).select(F.col("id").alias("entry"), F.array(F.lit("red"), F.lit("ring")).alias("head"))
+    namings = spark.range(1001).select((F.col("id") * 7919).alias("id"), F.lit(0).alias("naming"), F.array(F.lit("red"), F.lit("ring")).alias("words"))
+    out = records.prefix_candidates(entries, namings).select("id", "entry", "matched")
+    out.write.parquet(str(tmp_path / "out"))
+    n = 3001 * 1001
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.agg(F.count("*"), F.count_distinct("id", "entry")).first() == (n, n)
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < n / 4  # bytes; 1.5 a pair when each row met a whole chunk
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        fused = re.findall(r"\*\((\d+)\) Generate explode\(_", out.select("*")._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert fused and len(fused) == len(set(fused))  # generated code holds what one row explodes to: never the pairs of two chunks
+
+
 def test_no_import_of_llm():
     from pathlib import Path
 
